@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from callweave.llm import packing, tokens
+from callweave.llm import contamination, packing, tokens
 from callweave.llm.registry import query, table
 from callweave.session import durable, spread
 
@@ -17,3 +17,20 @@ def p6_sequences(spark, sf):
     docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
     counted = durable(tokens.with_token_counts(docs, "text").select("doc_id", "n_tokens"), "tokens")
     return packing.pack(counted, "doc_id", "n_tokens", SEQUENCE_LENGTHS)
+
+
+def leak_rows(spark, sf):
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), narrow=0.5)
+    return contamination.leaks(docs, "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "text")
+
+
+@query("p7_found")
+def p7_found(spark, sf):
+    return leak_rows(spark, sf).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).distinct()
+
+
+@query("p7_kept")
+def p7_kept(spark, sf):
+    """The documents left once those that hold a test item are removed."""
+    bad = leak_rows(spark, sf).select(F.col("doc").alias("doc_id")).distinct()
+    return table(spark, sf, "documents").select("doc_id", "source", "lang").join(bad, "doc_id", "left_anti")
