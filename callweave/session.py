@@ -66,7 +66,7 @@ def durable(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> Da
     return df.sparkSession.read.parquet(path)
 
 
-def spread(df: DataFrame, per_slot: int = 3, narrow: int = 2) -> DataFrame:
+def spread(df: DataFrame, per_slot: int = 3, narrow: float = 2) -> DataFrame:
     """Enough partitions for work that is heavy per row. A scan that already has at least ``narrow`` partitions
     a slot is left alone (no shuffle), so this only acts where the input is small."""
     slots = df.sparkSession.sparkContext.defaultParallelism
