@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # fixed values: the target symptoms, the region's names and the words that hint at a speaker's role
 SYMPTOMS = ["고열", "구토", "두통", "복통", "어지러움", "열상", "오심", "전신쇠약", "호흡곤란"]
@@ -21,7 +22,7 @@ def nul() -> Column:
     return F.decode(F.unhex(F.lit("00")), "UTF-8")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """NFC; null stays null."""
     return s.str.normalize("NFC")

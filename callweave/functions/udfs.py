@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from callweave.functions import audio
 
@@ -16,19 +17,19 @@ def _each(s: pd.Series, f):
     return pd.Series([None if x is None or len(x) == 0 else f(np.asarray(x, dtype=float)) for x in s], dtype=object)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def mfcc_features(s: pd.Series) -> pd.Series:
     """26 values a waveform; null for an empty one."""
     return _each(s, lambda x: audio.mfcc_summary(x).tolist())
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def log_mel_features(s: pd.Series) -> pd.Series:
     """Scaled log-Mel pooled to 64 x 24, row by row."""
     return _each(s, lambda x: audio.pool(audio.unit_scale(audio.log_mel(x)), 24).ravel().tolist())
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def two_view_features(s: pd.Series) -> pd.Series:
     return _each(s, lambda x: audio.two_views(x).tobytes())
 
@@ -37,17 +38,21 @@ _ACOUSTIC = ["f0_mean", "f0_median", "f0_std", "voiced_ratio", "tone_concentrati
 _LEVEL = ["silence_ratio", "clipping_ratio", "zero_ratio", "peak", "rms"]
 
 
-@F.pandas_udf(", ".join(f"{c} double" for c in _ACOUSTIC))
+def _doubles(names: list[str]) -> T.StructType:
+    return T.StructType([T.StructField(n, T.DoubleType()) for n in names])
+
+
+@F.pandas_udf(_doubles(_ACOUSTIC))
 def acoustic_features(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([audio.acoustic_summary(x) if x is not None and len(x) else dict.fromkeys(_ACOUSTIC, float("nan")) for x in s], columns=_ACOUSTIC)
 
 
-@F.pandas_udf(", ".join(f"{c} double" for c in _LEVEL))
+@F.pandas_udf(_doubles(_LEVEL))
 def level_features(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([audio.level_quality(x if x is not None else []) for x in s], columns=_LEVEL)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def resampled(s: pd.Series) -> pd.Series:
     return _each(s, lambda x: audio.resample_up(x).tolist())
 
@@ -137,7 +142,7 @@ def redact(doc, keep: frozenset[str], longest: int = 3):
 def json_udf(f, *args):
     """A string UDF that applies a function to parsed JSON; null for what is no JSON."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(s: pd.Series) -> pd.Series:
         out = []
         for t in s:

@@ -23,8 +23,15 @@ WEIGHT_GRID = [i * 0.05 for i in range(21)]
 
 
 def reached(p: Column, thresholds: Sequence[float]) -> Column:
-    """How many of the ascending thresholds the score reaches."""
-    return F.size(F.filter(F.array(*[F.lit(t) for t in thresholds]), lambda t: t <= p))
+    """How many of the evenly spaced, ascending thresholds the score reaches; 0 for a null score, all for NaN. The
+    place is computed and then put right by one where rounding moved it, so no list is walked for each row."""
+    n, t = len(thresholds), F.array(*[F.lit(x) for x in thresholds])
+    if n == 1:
+        return F.coalesce((p >= thresholds[0]).cast("int"), F.lit(0))
+    step = (thresholds[-1] - thresholds[0]) / (n - 1)
+    k = F.greatest(F.lit(0.0), F.least(F.lit(float(n)), F.floor((p - thresholds[0]) / step) + 1)).cast("int")
+    k = k + F.coalesce((F.get(t, k) <= p).cast("int"), F.lit(0)) - F.coalesce(((k > 0) & (F.get(t, F.greatest(k - 1, F.lit(0))) > p)).cast("int"), F.lit(0))
+    return F.when(F.isnan(p), F.lit(n)).otherwise(F.coalesce(k, F.lit(0)))
 
 
 def confusion(df: DataFrame, truth: str, predicted: str, classes: Sequence[str]) -> DataFrame:
@@ -83,7 +90,7 @@ def sweep_accuracy(df: DataFrame, truth: str, score: str, thresholds: Sequence[f
     return c.agg(best.alias("b")).select("b.threshold", "b.accuracy")
 
 
-def blend(df: DataFrame, a: str, b: str, weight: float) -> Column:
+def blend(a: str, b: str, weight: float) -> Column:
     return F.col(a) * F.lit(weight) + F.col(b) * F.lit(1 - weight)
 
 

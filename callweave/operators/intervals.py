@@ -68,3 +68,16 @@ def overlap(a: DataFrame, b: DataFrame, entity: list[str], s: str = "start_ms",
         .groupBy(*entity)
         .agg(F.sum(F.least(e, "_be") - F.greatest(s, "_bs")).alias("overlap_ms"))
     )
+
+
+def bucketed_overlap(a: DataFrame, b: DataFrame, entity: list[str], s: str = "start_ms", e: str = "end_ms", width: int = 60_000) -> DataFrame:
+    """As :func:`overlap`, for entities of any size: both sides are listed under every bucket of ``width`` that they
+    touch, joined on (entity, bucket), and a pair counts in each bucket only what lies in it."""
+
+    def listed(d: DataFrame, p: str) -> DataFrame:
+        first, last = F.floor(F.col(s) / width), F.floor((F.col(e) - 1) / width)
+        x = d.select(*entity, F.col(s).alias(f"{p}s"), F.col(e).alias(f"{p}e"), F.explode(F.sequence(first, last)).alias("_b"))
+        return x.withColumn(f"{p}s", F.greatest(f"{p}s", F.col("_b") * width)).withColumn(f"{p}e", F.least(f"{p}e", (F.col("_b") + 1) * width))
+
+    j = listed(a, "_a").join(listed(b, "_c"), [*entity, "_b"])
+    return j.where("_as < _ce and _cs < _ae").groupBy(*entity).agg(F.sum(F.least("_ae", "_ce") - F.greatest("_as", "_cs")).alias("overlap_ms"))

@@ -41,7 +41,7 @@ def logistic(train: DataFrame, label: str, c: float = 1.0, features: str = "feat
     """L2 logistic regression with the loss summed and weighted by C: regParam = 1 / (C n), no inner scaling."""
     n = train.count()
     enforce("no training rows" if n == 0 else None)
-    return LogisticRegression(featuresCol=features, labelCol=label, regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-8).fit(train)
+    return LogisticRegression(featuresCol=features, labelCol=label, regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-6).fit(train)
 
 
 def probability(model, df: DataFrame, out: str = "p") -> DataFrame:

@@ -65,10 +65,12 @@ def only_columns(df: DataFrame, allowed: Sequence[str]) -> DataFrame:
 def char_ngrams(text: Column, lo: int, hi: int) -> Column:
     """All substrings of lo to hi characters, in order, of a text of any length."""
     n = F.length(text)
-    parts = [
-        F.transform(F.when(n >= k, F.sequence(F.lit(1), n - (k - 1))).otherwise(F.array().cast("array<int>")), lambda i, k=k: F.substring(text, i, F.lit(k)))
-        for k in range(lo, hi + 1)
-    ]
+
+    def of(k: int) -> Column:
+        at = F.when(n >= k, F.sequence(F.lit(1), n - (k - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.substr(text, i, F.lit(k)))
+
+    parts = [of(k) for k in range(lo, hi + 1)]
     return F.concat(*parts)
 
 

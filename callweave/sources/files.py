@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from callweave.functions.scalar import file_name, file_stem, nfc
 
@@ -126,7 +127,7 @@ def decode_wav(content: bytes) -> tuple[np.ndarray, int]:
     return x.reshape(-1, n).mean(axis=1), rate
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def waveform(content: pd.Series) -> pd.Series:
     """Mono samples of WAV bytes; null where they can't be decoded."""
 
