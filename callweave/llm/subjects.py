@@ -38,7 +38,13 @@ from callweave.session import durable
 
 BITS = 16  # of the vocabulary; its lower half is Hangul, its upper half Latin
 BLOCK = 1 << 11
-_SPLIT = re.compile(r"[.!?。]+(?=\s|$)|[\n\r  ]+|<(?:br|/?p|/?li|/?div|/?h\d)\b[^>]*>", re.I)
+SIGMAS = 1.0
+# a Hangul predicate's end: a syllable that closes in ss, n or ps, and "da"
+_CLOSED = "".join(chr(c) for c in range(0xAC00, 0xD7A4) if (c - 0xAC00) % 28 in (4, 18, 20))
+_SPLIT = re.compile(rf"[.!?。]+(?!\d)|[\n\r\u2028\u2029]+|<(?:br|/?p|/?li|/?div|/?h\d)\b[^>]*>|(?<=[{_CLOSED}]다)\s+", re.I)
+# fixed values: words that, capitalised, begin an English sentence where its layout lost the marks
+_OPENERS = "The A An In On At By Of To For From With We He She It They You This That These Those Then Later Meanwhile However Once When While After Before During Around About Late Early Shortly Nobody Somebody More Much Most As According And But So If There Here His Her Our Their No All Some Many".split()
+_OPENING = re.compile(rf"\s+(?=(?:{'|'.join(_OPENERS)})\b)")
 _TAG = re.compile(r"<[^>]*>")
 _LATIN, _HANGUL = re.compile(r"[a-z]{2,}"), re.compile(r"[가-힣]+")
 _HEADING = re.compile(r"^\W*(?:\w+\s+){1,3}\d+\W*$")
@@ -51,8 +57,15 @@ def sentences(text: str) -> list[str]:
         text = unicodedata.normalize("NFKC", text).translate(_INVISIBLE)
     if "&" in text:
         text = html.unescape(text)
-    out = [_TAG.sub(" ", s) if "<" in s else s for s in _SPLIT.split(text.casefold())]
-    out = [s for s in out if s and not s.isspace()]
+    out = []
+    for s in _SPLIT.split(text):
+        if s and not s.isspace():
+            if "<" in s:
+                s = _TAG.sub(" ", s)
+            if len(s) > 80 and _OPENING.search(s):
+                out += [x.casefold() for x in _OPENING.split(s) if x]
+            else:
+                out.append(s.casefold())
     return out[1:] if len(out) > 1 and _HEADING.match(out[0]) else out
 
 
@@ -186,7 +199,7 @@ class Model:
         return np.argsort(-(p[topic] * (logs[topic] - np.log(p.mean(axis=0)))), kind="stable")[:n]
 
 
-def fit(bag: DataFrame, labels: dict[int, list[int]], subjects: list[str], background: int = 3, passes: int = 1, alpha: float = 0.1, eta: float = 0.01, bits: int = BITS) -> Model:
+def fit(bag: DataFrame, labels: dict[int, list[int]], subjects: list[str], background: int = 3, passes: int = 2, alpha: float = 0.1, eta: float = 0.01, bits: int = BITS) -> Model:
     """``bag``: a stored table of :func:`bags`. ``labels``: subjects of the sampled labelled documents."""
     sc = bag.sparkSession.sparkContext
     s, v = len(subjects), 1 << bits
@@ -214,8 +227,9 @@ def fit(bag: DataFrame, labels: dict[int, list[int]], subjects: list[str], backg
     got = _summed(bag.mapInPandas(count, "block int, v binary"), (s + 3, v))
     total, with_subject = max(got[s + 2, 0], 1), got[s + 2, 1 : s + 1]
     base = np.clip(with_subject / total, 1e-9, 1 - 1e-9)[:, None]
-    # how far a word's documents are the subject's, above chance
-    specific = np.clip(((got[:s] + base / 2) / (got[s] + 0.5) - base) / (1 - base), 0, 1)
+    # how far a word's documents are the subject's, above chance: the lower end of what their number allows
+    rate = (got[:s] + 2 * base) / (got[s] + 2)
+    specific = np.clip((rate - SIGMAS * np.sqrt(rate * (1 - rate) / (got[s] + 2)) - base) / (1 - base), 0, 1)
     specific[:, got[s] < 2] = 0
     specific /= np.maximum(specific.sum(axis=0), 1)
     rest = 1 - specific.sum(axis=0)
@@ -248,13 +262,13 @@ def fit(bag: DataFrame, labels: dict[int, list[int]], subjects: list[str], backg
     return model
 
 
-def _vote(m: Model, topic: int, least: float = 0.15) -> int:
+def _vote(m: Model, topic: int, least: float = 0.08) -> int:
     """The subject that a topic's top terms favour, or -1."""
     votes = m.specific[:, m.top_terms(topic)].mean(axis=1)
     return int(votes.argmax()) if votes.max() >= least else -1
 
 
-def assign(bag: DataFrame, model: Model, share: float = 0.24, alpha: float = 0.1) -> DataFrame:
+def assign(bag: DataFrame, model: Model, share: float = 0.22, alpha: float = 0.1) -> DataFrame:
     """``doc, subject, share`` for every subject of every document. The topics of one subject are added up."""
     shared = bag.sparkSession.sparkContext.broadcast((log_topics(model.counts), model.subject_of, model.subjects, model.bits))
 
