@@ -140,7 +140,7 @@ def cohorts(spark, sf):
 
 @query(
     "prediction_faults",
-    f"SELECT call_id, fault FROM (SELECT call_id, CASE WHEN p > 1 THEN 'out_of_range' WHEN abs(p + q - 1) > 1e-5 THEN 'sum' WHEN a <> CASE WHEN p > q THEN 'M' ELSE 'F' END THEN 'argmax' END AS fault FROM (SELECT call_id, a, CASE WHEN total_duration < 40 THEN p_a + 1 ELSE p_a END AS p, CASE WHEN n_segments > 30 THEN 1.01 - p_a ELSE 1 - p_a END AS q FROM (SELECT call_id, total_duration, n_segments, p_a, CASE WHEN p_b >= 0.5 THEN a ELSE 'M' END AS a FROM {_CALLS}))) WHERE fault IS NOT NULL",
+    f"SELECT call_id, fault FROM (SELECT call_id, CASE WHEN p > 1 OR q > 1 THEN 'out_of_range' WHEN abs(p + q - 1) > 1e-5 THEN 'sum' WHEN a <> CASE WHEN p > q THEN 'M' ELSE 'F' END THEN 'argmax' END AS fault FROM (SELECT call_id, a, CASE WHEN total_duration < 40 THEN p_a + 1 ELSE p_a END AS p, CASE WHEN n_segments > 30 THEN 1.01 - p_a ELSE 1 - p_a END AS q FROM (SELECT call_id, total_duration, n_segments, p_a, CASE WHEN p_b >= 0.5 THEN a ELSE 'M' END AS a FROM {_CALLS}))) WHERE fault IS NOT NULL",
 )
 def prediction_faults(spark, sf):
     c = calls(spark, sf).withColumn("a", F.when(F.col("p_b") >= 0.5, F.col("a")).otherwise("M"))
