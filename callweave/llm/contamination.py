@@ -19,6 +19,7 @@ tables give an empty result. Extra columns are not read.
 
 from __future__ import annotations
 
+import html
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -30,6 +31,9 @@ from pyspark.sql import functions as F
 
 FOUND = "doc bigint, item bigint, coverage double, longest int, at bigint"
 _MARKS = re.compile(r"[\W_]+")
+_TAG = re.compile(r"<[a-zA-Z/!][^<>]*>")
+# what layouts put before a line: a time or date in brackets or before a bar, a speaker's label
+_HEAD = re.compile(r"^\W*(?:\d[\d:.\-]*(?: +\d[\d:.]*)?s?\s*[\])>|]\s*)?(?:\[?\w{1,12}\]?\s?[:>](?=\s))?", re.M)
 BITS = 12  # a character id; five fill a key
 BLOCK_CHARS = 8 << 20
 SHARD_CHARS = 3 << 20
@@ -37,10 +41,14 @@ BAND = 256
 
 
 def bare(text: str) -> str:
-    """Letters and digits only, NFKC and case folded."""
+    """Letters and digits only, NFKC and case folded; markup and what stands before lines taken out."""
+    if "<" in text:
+        text = _TAG.sub(" ", text)
+    if "&" in text:
+        text = html.unescape(text)
     if not unicodedata.is_normalized("NFKC", text):
         text = unicodedata.normalize("NFKC", text)
-    return _MARKS.sub("", text.casefold())
+    return _MARKS.sub("", _HEAD.sub(" ", text).casefold())
 
 
 def _points(text: str) -> np.ndarray:
