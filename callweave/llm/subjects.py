@@ -51,8 +51,21 @@ _HEADING = re.compile(r"^\W*(?:\w+\s+){1,3}\d+\W*$")
 _INVISIBLE = dict.fromkeys(map(ord, "​‌‍﻿­⁠"))
 
 
+def unwrapped(text: str) -> str:
+    """The text without the breaks of a layout that wraps at a fixed width, be it inside words: such breaks follow
+    lines of exactly that width, and nearly all lines have it."""
+    lines = text.split("\n")
+    width = max(map(len, lines))
+    full = sum(len(x) == width for x in lines)
+    if full < 3 or full < 0.8 * (len(lines) - 1):
+        return text
+    return "".join(x if len(x) == width else x + "\n" for x in lines)
+
+
 def sentences(text: str) -> list[str]:
     """The sentences of a text, folded; headings and markup left out."""
+    if "\n" in text:
+        text = unwrapped(text)
     if "&" in text:
         text = html.unescape(text)
     if not text.isascii():
@@ -62,7 +75,7 @@ def sentences(text: str) -> list[str]:
         if s and not s.isspace():
             if "<" in s:
                 s = _TAG.sub(" ", s)
-            if len(s) > 80 and _OPENING.search(s):
+            if len(s) > 80 and not s.isupper() and _OPENING.search(s):
                 out += [x.casefold() for x in _OPENING.split(s) if x]
             else:
                 out.append(s.casefold())

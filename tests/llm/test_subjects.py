@@ -70,4 +70,8 @@ def test_sentences():
     assert sj.sentences("문이 열렸다  차가 섰다  법보다 주먹이 가깝다") == ["문이 열렸다", "차가 섰다", "법보다 주먹이 가깝다"]
     long = "skies cleared once the trough moved east and the wind dropped over the bay The kitchen served hot pot"
     assert len(sj.sentences(long)) == 2
+    assert len(sj.sentences(long.upper())) == 1
+    text = "비가 왔다. 눈이 왔다. 바람이 불었다. 해가 떴다. 달이 떴다."
+    assert sj.sentences("\n".join(text[i : i + 8] for i in range(0, len(text), 8))) == sj.sentences(text)
+    assert sj.sentences("비가 왔다\n눈이 왔다\n해가 났다고 한다") == ["비가 왔다", "눈이 왔다", "해가 났다고 한다"]
     assert sj.words("가나 다 ab c") == ["가나", "나다", "ab"]
