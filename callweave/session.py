@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,7 +27,27 @@ def get_spark(app: str = "callweave", master: str | None = None, **conf: str) ->
     } | {k.replace("__", "."): v for k, v in conf.items()}
     for k, v in settings.items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    return ship(b.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Hands this package to the Python workers, once a context, so that executors need not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_callweave_shipped", False):
+        return spark
+    here = os.path.dirname(os.path.abspath(__file__))
+    part = tempfile.mkdtemp(prefix="callweave-py-")
+    atexit.register(shutil.rmtree, part, True)
+    path = os.path.join(part, "callweave.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in sorted(os.walk(here)):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(here)))
+    sc.addPyFile(path)  # the driver serves it to the executors
+    sc._callweave_shipped = True
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
