@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from callweave.llm.components import components
 from callweave.operators.ordered import null_safe_join, running_count
+from callweave.session import shared_dir
 
 STATE = "record string, component string, split string, status string"
 
@@ -70,15 +71,17 @@ def assign_splits(state: DataFrame | None, keys_seen: DataFrame | None, edges: D
     ``strata``: record and stratum, one row a record. Returns the new state and the new keys table; write both
     before the next batch."""
     spark = edges.sparkSession
+    shared_dir(spark)
     if state is None:
         state = spark.createDataFrame([], STATE)
     if keys_seen is None:
         keys_seen = spark.createDataFrame([], "component string, key string")
     # nodes: known components under their own name, records not seen before under theirs
+    # each step is used several times below: written once, so that no plan holds another one twice
     known = state.select("record", F.col("component").alias("_c"))
     batch = edges.join(known, "record", "left").select(
         F.coalesce(F.concat(F.lit("C "), F.col("_c")), F.concat(F.lit("R "), F.col("record"))).alias("node"), "record", "key"
-    )
+    ).checkpoint()
     touched = keys_seen.join(batch.select("key").where("key is not null").distinct(), "key", "left_semi").select(
         F.concat(F.lit("C "), F.col("component")).alias("node"), "key"
     )
@@ -88,25 +91,27 @@ def assign_splits(state: DataFrame | None, keys_seen: DataFrame | None, edges: D
         comp.where("node like 'C %'")
         .withColumn("component", F.substring("node", 3, 1 << 30))
         .join(state.groupBy("component").agg(F.min("split").alias("split"), F.max("status").alias("status")), "component")
+        .checkpoint()
     )
     verdict = held.groupBy("root").agg(
         F.min("split").alias("split"), (F.min("split") != F.max("split")).alias("torn"), F.min("component").alias("component"), F.max(F.col("status") == "quarantined").alias("was")
     )
+    verdict = verdict.checkpoint()
     fresh = comp.where("node like 'R %'").select(F.substring("node", 3, 1 << 30).alias("record"), "root")
     name = fresh.groupBy("root").agg(F.min("record").alias("name"))
     sizes = fresh.join(strata, "record", "left").groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.mode("stratum", True).alias("stratum"))
-    new = name.join(sizes, "root").join(verdict.select("root"), "root", "left_anti")
+    new = name.join(sizes, "root").join(verdict.select("root"), "root", "left_anti").checkpoint()
     placed = fill_deficits(new.select(F.col("name").alias("component"), "n", "stratum", "root"), state.join(strata, "record", "left"), shares)
     whole = verdict.select("root", "component", "split", F.when(F.col("torn") | F.col("was"), "quarantined").otherwise("kept").alias("status")).unionByName(
         placed.select("root", "component", "split", F.lit("new").alias("status"))
-    )
+    ).checkpoint()
     # rows: new records take their whole's component and split, known ones keep their split
     added = fresh.join(whole, "root").select("record", "component", "split", "status")
     renamed = held.select(F.col("component").alias("_old"), "root").join(whole, "root").select("_old", F.col("component").alias("_new"), F.col("status").alias("_status"))
     kept = state.join(renamed, F.col("component") == F.col("_old"), "left").select(
         "record", F.coalesce("_new", "component").alias("component"), "split", F.coalesce("_status", "status").alias("status")
     )
-    after = kept.unionByName(added)
+    after = kept.unionByName(added).checkpoint()
     keys_after = (
         keys_seen.join(renamed, F.col("component") == F.col("_old"), "left")
         .select(F.coalesce("_new", "component").alias("component"), "key")
