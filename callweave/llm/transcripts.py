@@ -76,21 +76,20 @@ def _seconds(token: Column) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda a, p: a * 60 + p)
 
 
-def mine_times(ln: DataFrame, support: float = 0.0005, agree: float = 0.8, within_ms: int = 1500) -> list[str]:
-    """Shapes of the head token that are time marks."""
+def mine_times(ln: DataFrame, total: int, support: float = 0.0005, agree: float = 0.8, within_ms: int = 1500) -> list[str]:
+    """Shapes of the head token that are time marks. ``total``: the number of lines."""
     head = F.regexp_extract("_text", "^" + _TOKEN, 1)
     marked = ln.select(head.alias("t"), "startAt").where(F.col("t").rlike(r"^\W*\d[\d:.]*s?\W*$") & F.col("t").rlike(r"\D"))
     levels = (
         marked.groupBy(F.regexp_replace("t", r"\d+", "#").alias("shape"))
         .agg(F.count(F.lit(1)).alias("n"), F.avg((F.abs(_seconds(F.col("t")) * 1000 - F.col("startAt")) <= within_ms).cast("double")).alias("p"))
-        .crossJoin(F.broadcast(ln.agg(F.count(F.lit(1)).alias("_all"))))
-        .where((F.col("n") >= 20) & (F.col("n") >= support * F.col("_all")))
+        .where(F.col("n") >= max(20, support * total))
     )
     found = {r["shape"]: r["p"] for r in levels.collect()}
     return sorted({s for s, p in found.items() if p >= agree} | {s for s in TIME_SHAPES if found.get(s, 1.0) >= agree})
 
 
-def mine_labels(ln: DataFrame, support: float = 0.0005, pure: float = 0.95) -> dict[str, str]:
+def mine_labels(ln: DataFrame, total: int, support: float = 0.0005, pure: float = 0.95) -> dict[str, str]:
     """Head tokens, with their delimiter, that name a side. ``ln`` has the time marks taken out in ``_body``."""
     t = F.lower(F.regexp_extract("_body", rf"^({_GROUP}|[^\s{_OPEN}>:]+\s*[:>]|[^\s{_OPEN}]+\s+-(?=\s))", 1))
     t = F.regexp_replace(t, r"\s+", " ")
@@ -99,8 +98,7 @@ def mine_labels(ln: DataFrame, support: float = 0.0005, pure: float = 0.95) -> d
         .where("t <> ''")
         .groupBy("t")
         .agg(F.count("_side").alias("n"), F.count(F.when(F.col("_side") == "reporter", 1)).alias("r"))
-        .crossJoin(F.broadcast(ln.agg(F.count(F.lit(1)).alias("_all"))))
-        .where((F.col("n") >= 20) & (F.col("n") >= support * F.col("_all")))
+        .where(F.col("n") >= max(20, support * total))
         .collect()
     )
     mined = {}
@@ -121,10 +119,11 @@ def clean_lines(u: DataFrame) -> DataFrame:
     """``call_id, id, startAt, endAt, role, spoken`` of every usable line with a spoken word. Layouts are mined from
     the rows as they are scanned; repeated rows weigh twice there, which decides nothing, and save a shuffle."""
     raw = u.where(usable()).select("startAt", _width(F.trim(F.col("text"))).alias("_text"), side_of("speaker").alias("_side"))
-    times = sorted(mine_times(raw), key=len, reverse=True)
+    total = raw.count()
+    times = sorted(mine_times(raw, total), key=len, reverse=True)
     time_re = "|".join(_shape_regex(s) for s in times)
     strip = lambda df: df.withColumn("_body", F.regexp_replace("_text", rf"^\s*(?:(?:{time_re})\s*)+", ""))
-    labels = mine_labels(strip(raw))
+    labels = mine_labels(strip(raw), total)
     body = strip(lines(u))
 
     def alternatives(side: str) -> str:

@@ -39,13 +39,13 @@ def test_layouts_are_mined(spark):
     for i in range(400):
         side = i % 2
         mark = f"~{i}.0~" if i % 4 < 2 else ""
-        label = ("창구# " if False else "창구> ", "민원> ")[side] if i % 3 else ""
+        label = ("창구> ", "민원> ")[side] if i % 3 else ""
         lines.append(("c", str(i), i * 1000, i * 1000 + 900, f"{mark} {label}말씀 드려요", str(side)))
     lines += [("d", "a", 0, 5, "창구> 네", None), ("d", "b", 10, 15, "민원> 네", "?")]
     d = frame(spark, lines)
     assert tr.turn_starts(d).where("call_id = 'd'").orderBy("first_id").select("role").collect() == [("dispatcher",), ("reporter",)]
     raw = d.selectExpr("startAt", "trim(text) as _text").withColumn("_side", tr.side_of("startAt").cast("string"))
-    assert "~#.#~" in tr.mine_times(raw)
+    assert "~#.#~" in tr.mine_times(raw, 402)
 
 
 def test_empty_long_and_one_hot_call(spark):
