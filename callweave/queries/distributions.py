@@ -71,6 +71,12 @@ def quantiles6(spark, sf):
     return stats.quantiles(table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", 4)
 
 
+@query("quantiles_of_any_size", f"SELECT speaker, p, round(CASE p WHEN 0.25 THEN quantile_cont(ms, 0.25) WHEN 0.5 THEN quantile_cont(ms, 0.5) ELSE quantile_cont(ms, 0.95) END, 6) AS quantile FROM (SELECT speaker, CAST({_MS} AS DOUBLE) AS ms FROM utterances WHERE {_USABLE}), (SELECT unnest([0.25::DOUBLE, 0.5, 0.95]) AS p) GROUP BY speaker, p")
+def quantiles_of_any_size(spark, sf):
+    """The same quantiles where a group may hold a third of all rows."""
+    return _rounded(stats.exact_quantiles(_usable(spark, sf), ["speaker"], "ms", [0.25, 0.5, 0.95]), ["quantile"])
+
+
 @query(
     "nested_report",
     f"""WITH u AS (SELECT coalesce(c.partition, 'none') AS split, l.call_id IS NOT NULL AS m, u.speaker AS speaker, u.endAt - u.startAt AS ms FROM utterances u

@@ -89,6 +89,18 @@ def test_statistics_match_numpy(spark):
     assert stats.stats(spark.createDataFrame([], "x double"), [], "x").first()["n"] == 0
 
 
+def test_exact_quantiles_match_numpy(spark):
+    r = np.random.default_rng(5)
+    x = {"a": r.normal(size=3000), "b": np.round(r.random(700), 1), None: np.array([4.0]), "hot": np.full(2000, 7.0)}
+    d = spark.createDataFrame([(k, float(v)) for k, a in x.items() for v in a] + [("a", math.nan), ("b", None)], "k string, x double")
+    p = [0.0, 0.25, 0.5, 0.9, 0.95, 1.0]
+    got = {(q.k, q.p): q.quantile for q in stats.exact_quantiles(d, ["k"], "x", p, cells=16).collect()}
+    assert len(got) == 24 and all(got[k, q] == pytest.approx(np.quantile(a, q), abs=1e-12) for k, a in x.items() for q in p)
+    one = stats.exact_quantiles(d.where("k = 'a'").select("x"), [], "x", [0.5]).first()
+    assert one.quantile == pytest.approx(np.quantile(x["a"], 0.5))
+    assert stats.exact_quantiles(d.limit(0), ["k"], "x", p).count() == 0
+
+
 def test_difference_gap_majority(spark):
     d = spark.createDataFrame([("t", 1.0, "F"), ("t", 3.0, "M"), ("v", 2.0, "M"), ("v", 6.0, "M")], "p string, x double, g string")
     assert stats.standardized_difference(d, "p", "t", "v", "x").first()[0] == pytest.approx(2 / math.sqrt((2 + 8) / 2))
