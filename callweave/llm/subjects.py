@@ -41,11 +41,11 @@ BLOCK = 1 << 11
 SIGMAS = 1.0
 # a Hangul predicate's end: a syllable that closes in ss, n or ps, and "da"
 _CLOSED = "".join(chr(c) for c in range(0xAC00, 0xD7A4) if (c - 0xAC00) % 28 in (4, 18, 20))
-_SPLIT = re.compile(rf"[.!?。]+(?!\d)|[\n\r\u2028\u2029]+|<(?:br|/?p|/?li|/?div|/?h\d)\b[^>]*>|(?<=[{_CLOSED}]다)\s+", re.I)
+_SPLIT = re.compile(rf"[.!?。]+(?!\d)|[\n\r\u2028\u2029]+|<(?:br|/?p|/?li|/?div|/?h\d)\b[^<>]*>|(?<=[{_CLOSED}]다)\s+", re.I)
 # fixed values: words that, capitalised, begin an English sentence where its layout lost the marks
 _OPENERS = "The A An In On At By Of To For From With We He She It They You This That These Those Then Later Meanwhile However Once When While After Before During Around About Late Early Shortly Nobody Somebody More Much Most As According And But So If There Here His Her Our Their No All Some Many".split()
-_OPENING = re.compile(rf"\s+(?=(?:{'|'.join(_OPENERS)})\b)")
-_TAG = re.compile(r"<[^>]*>")
+_OPENING = re.compile(rf"(?<!\s)\s+(?=(?:{'|'.join(_OPENERS)})\b)")
+_TAG = re.compile(r"<[^<>]*>")
 _LATIN, _HANGUL = re.compile(r"[a-z]{2,}"), re.compile(r"[가-힣]+")
 _HEADING = re.compile(r"^\W*(?:\w+\s+){1,3}\d+\W*$")
 _INVISIBLE = dict.fromkeys(map(ord, "​‌‍﻿­⁠"))

@@ -40,7 +40,7 @@ TIME_SHAPES = ["[#:#]", "[#:#:#]", "(#:#.#)", "(#:#:#.#)", "<#.#s>", "<#s>", "#:
 HESITATION = r"으*음+|어+|아아+|에+|흠+|u+m+|u+h+|h+m+|e+r+m*"
 
 _OPEN, _CLOSE = r"\[(<{【", r"\])>}】"
-_GROUP = rf"\(\([^)]*\)\)|[{_OPEN}][^{_CLOSE}]*[{_CLOSE}]"
+_GROUP = rf"\(\([^()]*\)\)|[{_OPEN}][^{_OPEN}{_CLOSE}]*[{_CLOSE}]"  # openers inside would make long runs of them quadratic
 _TOKEN = rf"({_GROUP}|[^\s{_OPEN}]+)"
 _SOUND = rf"{_GROUP}|\*[^*]*\*|[♪♫♬]"
 

@@ -99,3 +99,12 @@ def test_blocks_of_items(spark, rows, monkeypatch):
     items = [passage(50, random.Random(i)) for i in range(6)]
     docs = [(i, " ".join(passage(20) + w[:40])) for i, w in enumerate(items)]
     assert run(spark, rows, docs, [(i, " ".join(w), "") for i, w in enumerate(items)]) == [(i, i) for i in range(6)]
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    for text in ("<" * 300_000, " " * 500_000 + "b", "가" * 500_000, "\n" * 300_000, "1" * 300_000, "<br" * 100_000, "1 " * 200_000, "a: " * 100_000):
+        began = time.time()
+        ct.bare(text)
+        assert time.time() - began < 5

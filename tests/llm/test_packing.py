@@ -81,4 +81,5 @@ def test_token_counts_are_exact(spark):
         n = tokens.counter(f.read())
     texts = ["", None, "hello 안녕하세요 <|endoftext|>", "가" * 50_000]
     d = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert n(" " * 12_000 + "ab c") == n(" " * 9_000 + "ab c") + 3_000 and n(" " * 1_000_000) == 1_000_000 and n("\n" * 20_000) == 20_000
     assert sorted(r.n_tokens for r in tokens.with_token_counts(d, "text").collect()) == sorted(n(t) if t else 0 for t in texts)

@@ -75,3 +75,12 @@ def test_sentences():
     assert sj.sentences("\n".join(text[i : i + 8] for i in range(0, len(text), 8))) == sj.sentences(text)
     assert sj.sentences("비가 왔다\n눈이 왔다\n해가 났다고 한다") == ["비가 왔다", "눈이 왔다", "해가 났다고 한다"]
     assert sj.words("가나 다 ab c") == ["가나", "나다", "ab"]
+
+
+@pytest.mark.parametrize("text", ["<" * 300_000, "a " * 200_000 + " " * 300_000 + "b", "가" * 500_000, "\n" * 300_000, "1" * 300_000, "<br" * 100_000, "다 " * 200_000])
+def test_long_texts_take_linear_time(text):
+    import time
+
+    began = time.time()
+    sj.sentences(text)
+    assert time.time() - began < 5

@@ -50,5 +50,5 @@ def test_layouts_are_mined(spark):
 
 def test_empty_long_and_one_hot_call(spark):
     assert tr.turn_starts(frame(spark, [])).count() == 0
-    many = [("hot", f"{i:05d}", i * 700_000, i * 700_000 + 5, "말 " * (20_000 if i == 7 else 1), "01"[i % 2]) for i in range(300)]
+    many = [("hot", f"{i:05d}", i * 700_000, i * 700_000 + 5, {7: "말 " * 20_000, 8: "(" * 100_000 + " 말", 9: "*" * 50_001 + " 말"}.get(i, "말"), "01"[i % 2]) for i in range(300)]
     assert tr.turn_starts(frame(spark, many)).count() == 300
