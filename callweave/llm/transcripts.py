@@ -56,16 +56,6 @@ def side_of(speaker: str) -> Column:
     return F.when(v.isin(DISPATCHER_VALUES), "dispatcher").when(v.isin(REPORTER_VALUES), "reporter")
 
 
-def lines(u: DataFrame) -> DataFrame:
-    """Usable utterances, each id once, with the text's width unified."""
-    rows = u.where(usable()).select("call_id", "id", "startAt", "endAt", "text", "speaker", "loaded_at")
-    key = F.coalesce(F.concat(F.lit("i"), "id"), F.concat(F.lit("r"), F.xxhash64("call_id", "startAt", "endAt", "text", "speaker").cast("string")))
-    once = rows.groupBy(key.alias("_key")).agg(
-        F.min_by(F.struct("call_id", "id", "startAt", "endAt", "text", "speaker"), F.struct("loaded_at", "call_id", "startAt", "endAt", "speaker", "text")).alias("r")
-    )
-    return once.select("r.call_id", "r.id", "r.startAt", "r.endAt", _width(F.trim(F.col("r.text"))).alias("_text"), side_of("r.speaker").alias("_side"))
-
-
 def _shape_regex(shape: str) -> str:
     return "".join(r"\d+" if c == "#" else re.escape(c) for c in shape)
 
@@ -115,16 +105,25 @@ def mine_labels(ln: DataFrame, total: int, support: float = 0.0005, pure: float
     return mined
 
 
-def clean_lines(u: DataFrame) -> DataFrame:
-    """``call_id, id, startAt, endAt, role, spoken`` of every usable line with a spoken word. Layouts are mined from
-    the rows as they are scanned; repeated rows weigh twice there, which decides nothing, and save a shuffle."""
-    raw = u.where(usable()).select("startAt", _width(F.trim(F.col("text"))).alias("_text"), side_of("speaker").alias("_side"))
+def clean_lines(u: DataFrame, text: bool = True) -> DataFrame:
+    """``call_id, id, startAt, endAt, role`` and, with ``text``, ``spoken`` of every usable line with a spoken word, each
+    id once. Lines are cleaned where they are scanned, so without ``text`` none is shuffled. Layouts are mined from the
+    rows as they are scanned; repeated rows weigh twice there, which decides nothing."""
+    raw = u.where(usable()).select(
+        "call_id",
+        "id",
+        "startAt",
+        "endAt",
+        "loaded_at",
+        F.coalesce(F.concat(F.lit("i"), "id"), F.concat(F.lit("r"), F.xxhash64("call_id", "startAt", "endAt", "text", "speaker").cast("string"))).alias("_key"),
+        _width(F.trim(F.col("text"))).alias("_text"),
+        side_of("speaker").alias("_side"),
+    )
     total = raw.count()
     times = sorted(mine_times(raw, total), key=len, reverse=True)
     time_re = "|".join(_shape_regex(s) for s in times)
-    strip = lambda df: df.withColumn("_body", F.regexp_replace("_text", rf"^\s*(?:(?:{time_re})\s*)+", ""))
-    labels = mine_labels(strip(raw), total)
-    body = strip(lines(u))
+    body = raw.withColumn("_body", F.regexp_replace("_text", rf"^\s*(?:(?:{time_re})\s*)+", ""))
+    labels = mine_labels(body, total)
 
     def alternatives(side: str) -> str:
         forms = sorted((t for t, s in labels.items() if s == side), key=lambda t: (-len(t), t))
@@ -133,19 +132,24 @@ def clean_lines(u: DataFrame) -> DataFrame:
     d, r = (rf"(?iu)^\s*(?:{alternatives(s)})" for s in ("dispatcher", "reporter"))
     both = rf"(?iu)^\s*(?:{alternatives('dispatcher')}|{alternatives('reporter')})\s*(?:(?:{time_re})\s*)*"
     role = F.coalesce("_side", F.when(F.col("_body").rlike(d), "dispatcher").when(F.col("_body").rlike(r), "reporter"), F.lit("unknown"))
-    text = F.regexp_replace(F.regexp_replace("_body", both, " "), _SOUND, " ")
-    text = F.regexp_replace(text, r"(?<![\d:])\d{1,2}:\d{2}(?::\d{2})?(?:\.\d+)?(?![\d:])", " ")
+    rest = F.regexp_replace(F.regexp_replace("_body", both, " "), _SOUND, " ")
+    rest = F.regexp_replace(rest, r"(?<![\d:])\d{1,2}:\d{2}(?::\d{2})?(?:\.\d+)?(?![\d:])", " ")
     bare = lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}]|[ㄱ-ㆎ]", ""))
-    words = F.filter(F.split(text, r"(?U)\s+"), lambda w: (bare(w) != "") & ~bare(w).rlike(rf"^(?:{HESITATION})$"))
-    return (
-        body.select("call_id", "id", "startAt", "endAt", role.alias("role"), F.array_join(words, " ").alias("spoken")).where("spoken <> ''")
+    words = F.filter(F.split(rest, r"(?U)\s+"), lambda w: (bare(w) != "") & ~bare(w).rlike(rf"^(?:{HESITATION})$"))
+    spoken = F.array_join(words, " ") if text else (F.size(words) > 0)
+    line = ["call_id", "id", "startAt", "endAt", "role", "spoken"]
+    once = (
+        body.select("_key", "loaded_at", "call_id", "id", "startAt", "endAt", role.alias("role"), spoken.alias("spoken"))
+        .groupBy("_key")
+        .agg(F.min_by(F.struct(*line), F.struct("loaded_at", *line)).alias("r"))
+        .select("r.*")
     )
+    return once.where("spoken <> ''") if text else once.where("spoken").drop("spoken")
 
 
 def turn_starts(u: DataFrame) -> DataFrame:
     """The first line of every turn: ``call_id, first_id, role``."""
-    ln = clean_lines(u)
-    p = previous_in_order(ln.select("call_id", "id", "startAt", "endAt", "role"), ["call_id"], "startAt", ["role"], tie=["endAt", "id"])
+    p = previous_in_order(clean_lines(u, text=False), ["call_id"], "startAt", ["role"], tie=["endAt", "id"])
     return p.where(F.col("prev_role").isNull() | (F.col("prev_role") != F.col("role"))).select("call_id", F.col("id").alias("first_id"), "role")
 
 
