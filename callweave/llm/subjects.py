@@ -41,14 +41,17 @@ BLOCK = 1 << 11
 SIGMAS = 1.0
 # a Hangul predicate's end: a syllable that closes in ss, n or ps, and "da"
 _CLOSED = "".join(chr(c) for c in range(0xAC00, 0xD7A4) if (c - 0xAC00) % 28 in (4, 18, 20))
-_SPLIT = re.compile(rf"[.!?。]+(?!\d)|[\n\r\u2028\u2029]+|<(?:br|/?p|/?li|/?div|/?h\d)\b[^<>]*>|(?<=[{_CLOSED}]다)\s+", re.I)
+_ENDS = r"[.!?。]+(?!\d)|[\n\r\u2028\u2029]+"
+_SPLIT = re.compile(_ENDS)
+_SPLIT_MARKUP = re.compile(_ENDS + r"|<(?:br|/?p|/?li|/?div|/?h\d)\b[^<>]*>", re.I)
+_PREDICATE = re.compile(rf"(?<=[{_CLOSED}]다)\s+")
 # fixed values: words that, capitalised, begin an English sentence where its layout lost the marks
 _OPENERS = "The A An In On At By Of To For From With We He She It They You This That These Those Then Later Meanwhile However Once When While After Before During Around About Late Early Shortly Nobody Somebody More Much Most As According And But So If There Here His Her Our Their No All Some Many".split()
 _OPENING = re.compile(rf"(?<!\s)\s+(?=(?:{'|'.join(_OPENERS)})\b)")
 _TAG = re.compile(r"<[^<>]*>")
 _LATIN, _HANGUL = re.compile(r"[a-z]{2,}"), re.compile(r"[가-힣]+")
 _HEADING = re.compile(r"^\W*(?:\w+\s+){1,3}\d+\W*$")
-_INVISIBLE = dict.fromkeys(map(ord, "​‌‍﻿­⁠"))
+_INVISIBLE = re.compile("[\u200b\u200c\u200d\u2060\ufeff\u00ad]")
 
 
 def unwrapped(text: str) -> str:
@@ -69,16 +72,22 @@ def sentences(text: str) -> list[str]:
     if "&" in text:
         text = html.unescape(text)
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text).translate(_INVISIBLE)
+        if not unicodedata.is_normalized("NFKC", text):
+            text = unicodedata.normalize("NFKC", text)
+        if _INVISIBLE.search(text):
+            text = _INVISIBLE.sub("", text)
     out = []
-    for s in _SPLIT.split(text):
-        if s and not s.isspace():
-            if "<" in s:
-                s = _TAG.sub(" ", s)
-            if len(s) > 80 and not s.isupper() and _OPENING.search(s):
-                out += [x.casefold() for x in _OPENING.split(s) if x]
-            else:
-                out.append(s.casefold())
+    for s in (_SPLIT_MARKUP if "<" in text else _SPLIT).split(text):
+        if not s or s.isspace():
+            continue
+        if "<" in s:
+            s = _TAG.sub(" ", s)
+        if "다 " in s:
+            out += [x.casefold() for x in _PREDICATE.split(s) if x]
+        elif len(s) > 80 and not s.isupper() and _OPENING.search(s):
+            out += [x.casefold() for x in _OPENING.split(s) if x]
+        else:
+            out.append(s.casefold())
     return out[1:] if len(out) > 1 and _HEADING.match(out[0]) else out
 
 
@@ -96,24 +105,37 @@ def bags(docs: DataFrame, doc_id: str, text: str, bits: int = BITS) -> DataFrame
     """``doc``, the word ids of all its sentences (``w``) and the sentences' lengths (``n``), as packed integers."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict[str, int] = {}
+        known: dict[str, int] = {}
+        hangul: dict[str, list[int]] = {}  # by sentence: without their numbers many are alike
+
+        def ids(ws: list[str]) -> list[int]:
+            if len(known) > 1 << 20:
+                known.clear()
+            out = []
+            for x in ws:
+                h = known.get(x)
+                if h is None:
+                    h = known[x] = word_id(x, bits)
+                out.append(h)
+            return out
+
         for b in batches:
             rows = []
             for d, t in zip(b["d"], b["t"]):
                 w: list[int] = []
                 n: list[int] = []
                 for s in sentences(t):
-                    ws = words(s)
-                    if len(ws) < 3:
-                        continue
-                    for x in ws:
-                        h = cache.get(x)
-                        if h is None:
-                            if len(cache) > 1 << 20:
-                                cache.clear()
-                            h = cache[x] = word_id(x, bits)
-                        w.append(h)
-                    n.append(len(ws))
+                    ko = "".join(_HANGUL.findall(s))
+                    own = hangul.get(ko)
+                    if own is None:
+                        own = ids([ko[i : i + 2] for i in range(len(ko) - 1)])
+                        if len(hangul) < 30_000 and len(own) < 100:
+                            hangul[ko] = own
+                    latin = ids(_LATIN.findall(s))
+                    if len(own) + len(latin) >= 3:
+                        w += own
+                        w += latin
+                        n.append(len(own) + len(latin))
                 if n:
                     rows.append((d, np.array(w, dtype=np.uint16 if bits <= 16 else np.uint32).tobytes(), np.array(n, dtype=np.uint32).tobytes()))
             yield pd.DataFrame(rows, columns=["doc", "w", "n"])

@@ -58,6 +58,18 @@ def test_no_labels_and_no_documents(spark, corpus):
     assert sj.assign(bag, model).count() == 0
 
 
+def test_bags_hold_the_words_of_the_sentences(spark):
+    import numpy as np
+
+    text = "비가 왔다. 비가 12 왔다. the wind rose again. no. ab"
+    d = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    r = sj.bags(d, "doc_id", "text").first()
+    ws = [sj.words(s) for s in sj.sentences(text)]
+    ws = [x for x in ws if len(x) >= 3]
+    assert np.frombuffer(r.n, np.uint32).tolist() == [len(x) for x in ws] == [3, 3, 4]
+    assert np.frombuffer(r.w, np.uint16).tolist() == [sj.word_id(x) for y in ws for x in y]
+
+
 def test_label_sample_is_bounded_and_stable(spark, corpus):
     _, lab, _, names = corpus
     a = sj.label_sample(lab, "doc_id", "subject", names, 50)
