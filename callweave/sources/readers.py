@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import io
 import json
 import tarfile
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from callweave.functions.scalar import file_name
 from callweave.operators.checks import enforce
+from callweave.sources.files import listing_all, real_files
 
 UTTERANCES = "array<struct<id:string,startAt:bigint,endAt:bigint,text:string,speaker:int>>"
 LABEL = f"_id string, recordId string, audioPath string, mediaType string, gender string, address string, disasterLarge string, disasterMedium string, urgencyLevel string, sentiment string, triage string, status int, startAt bigint, endAt double, symptom array<string>, utterances {UTTERANCES}"
@@ -33,7 +35,10 @@ def label_documents(spark: SparkSession, root: str, glob: str = "*.json") -> Dat
         .when(F.col("doc.utterances").isNull(), "no_utterances")
     )
     out = parsed.withColumn("error", error)
-    return out.select("path", "sha256", F.when(F.col("error").isNull(), F.col("doc").dropFields("_corrupt")).alias("doc"), "error")
+    out = out.select("path", "sha256", F.when(F.col("error").isNull(), F.col("doc").dropFields("_corrupt")).alias("doc"), "error")
+    # a scan passes over files without any byte
+    empty = real_files(listing_all(spark, root)).where((F.col("size") == 0) & file_name(F.col("path")).rlike(fnmatch.translate(glob)))
+    return out.unionByName(empty.select("path", F.sha2(F.lit(b""), 256).alias("sha256"), F.lit(None).cast(out.schema["doc"].dataType).alias("doc"), F.lit("json").alias("error")))
 
 
 def readable(labels: DataFrame) -> DataFrame:

@@ -97,6 +97,13 @@ def test_label_documents_and_manifests(spark, rows, corpus):
     assert mf.gender_candidates(mf.label_table(good).withColumn("gender", F.lit("x"))).where("reason = 'no_gender'").count() == 5
 
 
+def test_bytes_that_are_no_text(spark, tmp_path):
+    (tmp_path / "a.json").write_bytes(b'{"utterances": [], "gender": "\xff\xfe"}')
+    (tmp_path / "b.json").write_bytes(b"")
+    got = {r.path.rsplit("/", 1)[-1]: r.error for r in readers.label_documents(spark, str(tmp_path)).collect()}
+    assert got == {"a.json": "encoding", "b.json": "json"}
+
+
 def test_zip_and_tar(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         for n in ("d/a_20310101_1.json", "../b_20310101_2.json", "__MACOSX/c.json", "d/._e.json"):
