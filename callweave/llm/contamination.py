@@ -307,9 +307,10 @@ def _searcher(shared, step: int, share: float, fine: int, gap: int):
                     held.append((int(d), part, a))
                     chars += len(part)
                     if chars >= SHARD_CHARS:
-                        yield frame(search_shard(held, tests, share, fine, gap))
+                        if found := search_shard(held, tests, share, fine, gap):
+                            yield frame(found)
                         held, chars = [], 0
-        if held:
-            yield frame(search_shard(held, tests, share, fine, gap))
+        if held and (found := search_shard(held, tests, share, fine, gap)):
+            yield frame(found)
 
     return search

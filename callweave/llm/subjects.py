@@ -138,7 +138,8 @@ def bags(docs: DataFrame, doc_id: str, text: str, bits: int = BITS) -> DataFrame
                         n.append(len(own) + len(latin))
                 if n:
                     rows.append((d, np.array(w, dtype=np.uint16 if bits <= 16 else np.uint32).tobytes(), np.array(n, dtype=np.uint32).tobytes()))
-            yield pd.DataFrame(rows, columns=["doc", "w", "n"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc", "w", "n"])
 
     src = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("d"), F.col(text).alias("t"))
     return src.mapInPandas(run, "doc bigint, w binary, n binary")
@@ -317,7 +318,8 @@ def assign(bag: DataFrame, model: Model, share: float = 0.22, alpha: float = 0.1
             post = mapping @ posterior(b, logs, np.ones((len(logs), len(b.docs)), dtype=np.float32), alpha)
             part = np.add.reduceat(post, b.first, axis=1) / b.size
             k, i = np.nonzero(part >= share)
-            yield pd.DataFrame({"doc": b.docs[i], "subject": [names[x] for x in k], "share": part[k, i].astype(float)})
+            if len(i):
+                yield pd.DataFrame({"doc": b.docs[i], "subject": [names[x] for x in k], "share": part[k, i].astype(float)})
 
     return bag.mapInPandas(run, "doc bigint, subject string, share double")
 

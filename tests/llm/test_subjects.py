@@ -54,6 +54,8 @@ def test_held_out_accuracy(spark, corpus):
 def test_no_labels_and_no_documents(spark, corpus):
     d, lab, _, names = corpus
     assert sj.topic_model(d.limit(5), "doc_id", "text", lab.limit(0), names)[1] is None
+    bag, model = sj.topic_model(d.where("doc_id >= 1000"), "doc_id", "text", lab.where("doc_id > 1"), names, bits=12)
+    assert sj.assign(bag, model).count() == 0
     bag, model = sj.topic_model(d.limit(0), "doc_id", "text", lab, names, bits=12)
     assert sj.assign(bag, model).count() == 0
 
