@@ -87,7 +87,8 @@ def walked(df, id: str, text: str, inner: bool = False):
                     rows += [(i, *r) for r in walk(json.loads(t), inner=inner)]
                 except (ValueError, TypeError):
                     rows.append((i, "$", "invalid", None))
-            yield pd.DataFrame(rows, columns=["id", "path", "type", "value"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["id", "path", "type", "value"])
 
     return df.select(F.col(id).cast("string").alias("i"), F.col(text).alias("t")).mapInPandas(run, "id string, path string, type string, value string")
 

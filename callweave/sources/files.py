@@ -120,7 +120,8 @@ def wav_headers(spark: SparkSession, root: str, head_bytes: int = 1 << 16) -> Da
             for p, n, h in zip(b["path"], b["length"], b["head"]):
                 status = riff_status(bytes(h), n)
                 rows.append({"path": p, "size_bytes": n, "riff_status": status} | wav_header(bytes(h)))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in HEADER.split(", ")])
+            if rows:
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in HEADER.split(", ")])
 
     f = real_files(_binary(spark, root, "*.wav"))
     return f.select("path", "length", F.substring("content", 1, head_bytes).alias("head")).mapInPandas(run, HEADER)
@@ -172,7 +173,8 @@ def crops(spark: SparkSession, root: str, jobs: DataFrame) -> DataFrame:
                     a, z = round(s * rate), round(e * rate)
                     bad = fault or ("Invalid crop" if a < 0 or z <= a or z > len(x) else None)
                     rows.append((p, i, s, e, None if bad else x[a:z], bad))
-            yield pd.DataFrame(rows, columns=["path", "segment", "start_s", "end_s", "samples", "error"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["path", "segment", "start_s", "end_s", "samples", "error"])
 
     joined = _binary(spark, root, "*.wav").select("path", "content").join(jobs, "path")
     return joined.mapInPandas(run, "path string, segment int, start_s double, end_s double, samples array<float>, error string")
