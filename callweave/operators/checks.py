@@ -26,7 +26,7 @@ def key_report(df: DataFrame, key: str, attribute: str) -> DataFrame:
 
 
 def require_unique(df: DataFrame, key: str, what: str = "table") -> None:
-    bad = df.groupBy(key).count().where("count > 1").limit(3).collect()
+    bad = df.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").limit(3).collect()  # a null key joins nothing
     enforce(f"{what}: key {key} is not unique, for example {bad[0][0]!r}" if bad else None)
 
 

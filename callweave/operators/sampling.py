@@ -14,25 +14,25 @@ from callweave.operators.ordered import null_safe_join, running_count
 HASH_BITS = 32
 
 
-def hash_rank(df: DataFrame, stratum: str, id: str, seed: str = "42", buckets: int = 256) -> DataFrame:
-    """``df`` with ``rank``: the place of the row among its stratum in order of the salted hash, from 1. A null
+def hash_rank(df: DataFrame, stratum: str, id: str, seed: str = "42", buckets: int = 256, out: str = "rank") -> DataFrame:
+    """``df`` with ``out``: the place of the row among its stratum in order of the salted hash, from 1. A null
     stratum is hashed as an empty one."""
     h = salted_hash(seed, F.coalesce(F.col(stratum), F.lit("")), F.col(id))
     d = df.withColumn("_hash", h).withColumn("_h", F.conv(F.substring("_hash", 1, HASH_BITS // 4), 16, 10).cast("bigint"))
-    return running_count(d, [stratum], "_h", F.lit(1), "rank", (1 << HASH_BITS) // buckets, ["_hash", id]).drop("_hash", "_h")
+    return running_count(d, [stratum], "_h", F.lit(1), out, (1 << HASH_BITS) // buckets, ["_hash", id]).drop("_hash", "_h")
 
 
 def hash_split(df: DataFrame, stratum: str, id: str, fraction: float = 0.2, seed: str = "42", names=("internal_validation", "train")) -> DataFrame:
     """``df`` with ``partition``: the first floor(n * fraction) of each stratum by hash rank are held out."""
-    r = hash_rank(df, stratum, id, seed)
+    r = hash_rank(df, stratum, id, seed, out="_rank")
     n = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
     j = null_safe_join(r, n, [stratum])
-    return j.withColumn("partition", F.when(F.col("rank") <= F.floor(F.col("_n") * fraction), names[0]).otherwise(names[1])).drop("rank", "_n")
+    return j.withColumn("partition", F.when(F.col("_rank") <= F.floor(F.col("_n") * fraction), names[0]).otherwise(names[1])).drop("_rank", "_n")
 
 
 def folds(df: DataFrame, stratum: str, id: str, k: int, seed: str = "42") -> DataFrame:
     """``df`` with ``fold`` from 0 to k - 1, stratified."""
-    return hash_rank(df, stratum, id, seed).withColumn("fold", ((F.col("rank") - 1) % k).cast("int")).drop("rank")
+    return hash_rank(df, stratum, id, seed, out="_rank").withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank")
 
 
 def quartiles(df: DataFrame, by: Sequence[str], order: str, tie: Sequence[str], out: str = "quartile", width: int = 60_000) -> DataFrame:

@@ -127,11 +127,11 @@ def standardized_difference(df: DataFrame, partition: str, a: str, b: str, value
 
 
 def bin_gap(df: DataFrame, partition: str, a: str, b: str, bin: Column) -> DataFrame:
-    """The largest difference of a bin's share between two partitions, in percentage points."""
+    """The largest difference of a bin's share between two partitions, in percentage points; null if one is empty."""
     n = df.where(F.col(partition).isin(a, b)).select(partition, bin.alias("bin")).where("bin is not null")
     c = n.groupBy("bin").agg(F.count_if(F.col(partition) == a).alias("na"), F.count_if(F.col(partition) == b).alias("nb"))
     t = c.agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
-    return c.join(F.broadcast(t)).agg(F.max(F.abs(F.col("na") / F.col("ta") - F.col("nb") / F.col("tb")) * 100).alias("max_gap_pp"))
+    return c.join(F.broadcast(t)).agg(F.max(F.abs(F.try_divide("na", "ta") - F.try_divide("nb", "tb")) * 100).alias("max_gap_pp"))
 
 
 def majority_baseline(df: DataFrame, partition: str, train: str, test: str, label: str) -> DataFrame:
@@ -139,7 +139,7 @@ def majority_baseline(df: DataFrame, partition: str, train: str, test: str, labe
     c = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count_if(F.col(partition) == train).alias("n_train"), F.count_if(F.col(partition) == test).alias("n_test"))
     return c.agg(
         F.max_by(label, F.struct("n_train", label)).alias("majority"),
-        (F.max_by("n_test", F.struct("n_train", label)) / F.sum("n_test")).alias("accuracy"),
+        F.try_divide(F.max_by("n_test", F.struct("n_train", label)), F.sum("n_test")).alias("accuracy"),
     )
 
 
