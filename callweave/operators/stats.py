@@ -156,13 +156,13 @@ def id_duplicates(df: DataFrame, fields: Sequence[str], split: str) -> DataFrame
 
 
 def staged_duplicates(df: DataFrame, id: str, cheap: str, edges: Column, full: Column) -> DataFrame:
-    """Groups of exact copies by a cascade: rows whose cheap key repeats, then whose edge hash repeats, and only of
-    those the full hash. ``id`` of every copy with its digest."""
+    """Groups of exact copies by a cascade: rows of which the cheap key and the edge hash repeat, and only of those the
+    full hash. ``id`` of every copy with its digest. What is shuffled first is keys and hashes; contents are only
+    joined to the ids that are left, which AQE broadcasts while they are few."""
     repeated = lambda d, keys: d.join(d.groupBy(*keys).count().where("count > 1").drop("count"), keys, "left_semi")
-    one = repeated(df.where(F.col(cheap).isNotNull()), [cheap])
-    two = repeated(one.withColumn("_edge", edges), [cheap, "_edge"])
-    three = two.select(id, full.alias("digest"))
-    return repeated(three, ["digest"])
+    keys = df.where(F.col(cheap).isNotNull()).select(id, F.col(cheap).alias("_cheap"), edges.alias("_edge"))
+    left = repeated(keys, ["_cheap", "_edge"]).select(id).distinct()
+    return repeated(df.join(left, id, "left_semi").select(id, full.alias("digest")), ["digest"])
 
 
 def text_duplicates(df: DataFrame, text: str, split: str) -> DataFrame:
