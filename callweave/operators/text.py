@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections import Counter
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import repeat
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from callweave.functions.scalar import REGION_NAMES, contains_any
+from callweave.session import durable
 
 
 def call_text(df: DataFrame, key: str, order: Sequence[str], text: str) -> DataFrame:
@@ -74,16 +81,82 @@ def char_ngrams(text: Column, lo: int, hi: int) -> Column:
     return F.concat(*parts)
 
 
+def _gram_counts(texts: Iterable[str], lo: int, hi: int) -> Counter[str]:
+    """How often each substring of lo to hi characters occurs, in time linear in the texts."""
+    c: Counter[str] = Counter()
+    for t in texts:
+        for k in range(lo, hi + 1):
+            c.update(map("".join, zip(*(t[j:] for j in range(k)))))
+    return c
+
+
 def char_tfidf(df: DataFrame, id: str, text: str, lo: int = 2, hi: int = 5, min_df: int = 2, vocabulary: int = 150_000) -> DataFrame:
     """``id, term, weight``: sublinear tf, smooth idf, L2 norm, over the most frequent terms by corpus count (ties by
-    term) that at least ``min_df`` documents have. Counts are aggregated before they are shuffled."""
-    tf = df.where(F.col(text).isNotNull()).select(id, F.explode(char_ngrams(F.col(text), lo, hi)).alias("term")).groupBy(id, "term").agg(F.count(F.lit(1)).alias("tf"))
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
-    terms = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).where(F.col("df") >= min_df).orderBy(F.desc("cf"), "term").limit(vocabulary)
-    w = (
-        tf.join(terms, "term")
-        .join(F.broadcast(n))
-        .select(id, "term", ((1 + F.log("tf")) * (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1)).alias("w"))
-    )
-    norm = w.groupBy(id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, id).select(id, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    term) that at least ``min_df`` documents have. Only texts and sums by term are shuffled; the grams of a document
+    are counted in its task, once for the vocabulary and once for the weights. The vocabulary, bounded by its
+    parameter, is chosen when this is called and held by the driver and by every worker."""
+    spark = df.sparkSession
+    n = df.count()
+    parts = max(3 * spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions())
+    docs = df.where(F.col(text).isNotNull()).select(F.col(id), F.col(text).alias("_t")).repartition(parts, id).groupBy(id).agg(F.collect_list("_t").alias("_texts"))
+    sums = docs.select("_texts").mapInArrow(_term_sums(lo, hi), "term string, df bigint, cf bigint")
+    terms = sums.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where(F.col("df") >= min_df).orderBy(F.desc("cf"), "term").limit(vocabulary)
+    chosen = spark.sparkContext.broadcast([(r["term"], math.log((1 + n) / (1 + r["df"])) + 1) for r in durable(terms.select("term", "df"), "vocabulary").collect()])
+    out = T.StructType([docs.schema[id], T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType())])
+    return docs.where(F.col(id).isNotNull()).select(id, "_texts").mapInArrow(_weights(chosen, lo, hi), out)
+
+
+def _term_sums(lo: int, hi: int, held: int = 400_000):
+    """Partial ``term, df, cf``; at most about ``held`` terms besides those of one document are in memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch() -> pa.RecordBatch:
+            v = np.fromiter(sums.values(), np.int64, len(sums))
+            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(v >> 40), pa.array(v & (one - 1))], ["term", "df", "cf"])
+
+        one, sums = 1 << 40, {}  # documents above 40 bits of occurrences
+        for b in batches:
+            for texts in b.column("_texts"):
+                for t, k in _gram_counts(texts.as_py(), lo, hi).items():
+                    sums[t] = sums.get(t, 0) + one + k
+                if len(sums) >= held:
+                    yield batch()
+                    sums = {}
+        if sums:
+            yield batch()
+
+    return run
+
+
+def _weights(chosen, lo: int, hi: int, rows: int = 200_000):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = pa.array([t for t, _ in chosen.value], pa.string())
+        place = {t: i for i, (t, _) in enumerate(chosen.value)}
+        idf = np.array([x for _, x in chosen.value])
+        for b in batches:
+            which, places, weights, size = [], [], [], 0
+
+            def batch() -> pa.RecordBatch:
+                at = np.repeat(which, [len(x) for x in places])
+                columns = [b.column(0).take(pa.array(at)), terms.take(pa.array(np.concatenate(places))), pa.array(np.concatenate(weights))]
+                return pa.RecordBatch.from_arrays(columns, [b.schema.names[0], "term", "weight"])
+
+            for i, texts in enumerate(b.column(1)):
+                c = _gram_counts(texts.as_py(), lo, hi)
+                p = np.fromiter(map(place.get, c, repeat(-1)), np.int64, len(c))
+                tf = np.fromiter(c.values(), np.int64, len(c))[p >= 0]
+                p = p[p >= 0]
+                if not len(p):
+                    continue
+                w = (1 + np.log(tf)) * idf[p]
+                which.append(i)
+                places.append(p)
+                weights.append(w / np.sqrt((w * w).sum()))
+                size += len(p)
+                if size >= rows:
+                    yield batch()
+                    which, places, weights, size = [], [], [], 0
+            if size:
+                yield batch()
+
+    return run

@@ -282,6 +282,13 @@ def char_tfidf(spark, sf):
     return t.select("item_id", "term", F.round("weight", 7).alias("weight"))
 
 
+@query("document_tfidf")
+def document_tfidf(spark, sf):
+    """The whole job of ML5: every document, 2-5-grams, terms of two documents or more, the 150,000 most frequent."""
+    t = text.char_tfidf(table(spark, sf, "documents"), "doc_id", "text", 2, 5, 2, 150_000)
+    return t.select("doc_id", "term", F.round("weight", 7).alias("weight"))
+
+
 @query("sum_and_union", f"SELECT call_id, a.ms AS sum_ms, b.ms AS union_ms FROM (SELECT call_id, CAST(sum(e - s) AS BIGINT) AS ms FROM {_SP.format('1')} GROUP BY 1) a JOIN (SELECT call_id, CAST(sum(e - s) AS BIGINT) AS ms FROM {_ISL.format(_SP.format('1'))} GROUP BY 1) b USING (call_id)")
 def sum_and_union(spark, sf):
     """Two measures side by side: the sum of the reporter's segments and the length of their union."""
