@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,21 +78,23 @@ def stem_index(files: DataFrame) -> DataFrame:
     return files.groupBy(nfc(file_stem(F.col("path"))).alias("stem")).agg(F.sort_array(F.collect_list("path")).alias("paths"))
 
 
-def riff_status(head: bytes, size: int) -> str:
-    """State of the chunk structure, from the file's first bytes and its size."""
-    if len(head) < 12 or head[:4] != b"RIFF" or head[8:12] != b"WAVE":
+def riff_status(content: bytes, size: int | None = None) -> str:
+    """State of the chunk structure of a whole file, from chunk to chunk up to the RIFF boundary; no payload is read."""
+    size = len(content) if size is None else size
+    if len(content) < size:
+        raise ValueError("the chunks of a file can't be followed in its first bytes")
+    if size < 12 or content[:4] != b"RIFF" or content[8:12] != b"WAVE":
         return "non_RIFF"
-    if struct.unpack("<I", head[4:8])[0] + 8 > size:
+    boundary = struct.unpack_from("<I", content, 4)[0] + 8
+    if boundary > size:
         return "truncated_RIFF"
     at, data = 12, False
-    while at + 8 <= min(size, len(head)):
-        name, n = head[at : at + 4], struct.unpack("<I", head[at + 4 : at + 8])[0]
-        if at + 8 + n > size:
+    while at + 8 <= boundary:
+        name, n = struct.unpack_from("<4sI", content, at)
+        if at + 8 + n > boundary:
             return "truncated_chunk"
-        data = data or name == b"data"
+        data |= name == b"data"
         at += 8 + n + n % 2
-        if data and at >= len(head):
-            break
     return "ok" if data else "missing_data_chunk"
 
 
@@ -110,21 +113,22 @@ def wav_header(content: bytes) -> dict:
 HEADER = "path string, size_bytes bigint, sample_rate int, channels int, frames bigint, duration_s double, subtype string, riff_status string, error string"
 
 
-def wav_headers(spark: SparkSession, root: str, head_bytes: int = 1 << 16) -> DataFrame:
-    """One row a WAV file: its header and the state of its chunks. Only the first bytes cross to Python; the frame
-    count follows from the data chunk's stated size."""
+def wav_headers(spark: SparkSession, root: str) -> DataFrame:
+    """One row a WAV file: its header and the state of its chunks, wherever in the file they lie. Contents cross to
+    Python, where chunk headers are followed and no sample is decoded; the frame count follows from the data chunk's
+    stated size."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([(n, {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}[t]) for n, t in map(str.split, HEADER.split(", "))])
         for b in batches:
             rows = []
-            for p, n, h in zip(b["path"], b["length"], b["head"]):
-                status = riff_status(bytes(h), n)
-                rows.append({"path": p, "size_bytes": n, "riff_status": status} | wav_header(bytes(h)))
-            if rows:
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in HEADER.split(", ")])
+            for p, n, c in zip(b.column("path"), b.column("length"), b.column("content")):
+                content = c.as_py()  # one file at a time
+                rows.append({"path": p.as_py(), "size_bytes": n.as_py(), "riff_status": riff_status(content)} | wav_header(content))
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     f = real_files(_binary(spark, root, "*.wav"))
-    return f.select("path", "length", F.substring("content", 1, head_bytes).alias("head")).mapInPandas(run, HEADER)
+    return f.select("path", "length", "content").mapInArrow(run, HEADER)
 
 
 def decode_wav(content: bytes) -> tuple[np.ndarray, int]:
