@@ -10,8 +10,9 @@ order in both texts and with gaps of at most ``gap`` characters in either, which
 and changed words, but not other text. A document is a case if one chain covers ``share`` of the item.
 
 The test set is broadcast in blocks of bounded size, each against all documents. A document is one row; a text above
-a window is searched in windows that overlap by more than any item. An item shorter than two seeds is searched with
-a seed of half its length only if ``seed`` is lowered: such items are refused, not skipped.
+a window is searched in windows that overlap by more than any item. Items shorter than two seeds are not looked up by
+seeds: a table of their runs of ``fine`` characters gives every place in a text where one stands, and the same chain
+check decides; an item shorter than ``fine`` counts where it stands whole.
 
 Nulls: null or empty texts (of either side) and null ids give no row. Repeated documents give repeated rows. Empty
 tables give an empty result. Extra columns are not read.
@@ -110,14 +111,53 @@ class TestSet:
 
     def grams(self, n: int, fine: int) -> dict[str, list[int]]:
         if n not in self.fine:
-            g: dict[str, list[int]] = {}
-            t = self.texts[n]
-            for q in range(len(t) - fine + 1):
-                g.setdefault(t[q : q + fine], []).append(q)
-            self.fine[n] = g
+            self.fine[n] = _grams(self.texts[n], fine)
         return self.fine[n]
 
 
+def _grams(text: str, n: int) -> dict[str, list[int]]:
+    g: dict[str, list[int]] = {}
+    for q in range(len(text) - n + 1):
+        g.setdefault(text[q : q + n], []).append(q)
+    return g
+
+
+class ShortItems:
+    """Test texts shorter than two seeds, found by their runs of ``fine`` characters, or as a whole below that."""
+
+    def __init__(self, items: list[tuple[int, str]], fine: int):
+        self.ids, texts = [i for i, _ in items], [bare(t) for _, t in items]
+        self.lengths = [len(t) for t in texts]
+        self.fine = [min(fine, n) for n in self.lengths]
+        self.grams = [_grams(t, n) for t, n in zip(texts, self.fine)]
+        self.holders: dict[int, dict[str, list[int]]] = {}  # by length of run: which items hold it
+        for i, (n, grams) in enumerate(zip(self.fine, self.grams)):
+            for g in grams:
+                self.holders.setdefault(n, {}).setdefault(g, []).append(i)
+
+    def search(self, doc: int, text: str, share: float, gap: int) -> list[tuple]:
+        """Cases in one bare text."""
+        hits: dict[int, list[int]] = {}
+        for n, holders in self.holders.items():
+            for p in range(len(text) - n + 1):
+                for i in holders.get(text[p : p + n], ()):
+                    hits.setdefault(i, []).append(p)
+        out = []
+        for i, at in hits.items():
+            n, got, where, most = self.fine[i], 0, 0, 0
+            # no chain bridges more than the gap, so what lies farther apart is looked at on its own
+            for part in np.split(np.array(at), np.flatnonzero(np.diff(at) > n + gap) + 1):
+                a = int(part[0])
+                runs = common_runs(self.grams[i], text[a : int(part[-1]) + n], n)
+                c, w = best_chain(runs, gap)
+                most = max(most, *(r[2] for r in runs))
+                if c > got:
+                    got, where = c, a + w
+            if got >= share * self.lengths[i]:
+                out.append((doc, self.ids[i], got / self.lengths[i], most, where))
+        return out
+
+
 def suffix_array(k: np.ndarray, seen: np.ndarray, step: int) -> np.ndarray:
     """Positions in the order of their first ``4 * step`` characters; those that can match no test text left out."""
     can = seen[_slot(k)]
@@ -178,6 +218,11 @@ def longest_matches(text: np.ndarray, tests: TestSet) -> tuple[np.ndarray, np.nd
 
 def chained(grams: dict[str, list[int]], region: str, fine: int, gap: int) -> tuple[int, int]:
     """The most characters of the item that one chain of common runs covers, and where in the region it begins."""
+    return best_chain(common_runs(grams, region, fine), gap)
+
+
+def common_runs(grams: dict[str, list[int]], region: str, fine: int) -> list[list[int]]:
+    """The runs of at least ``fine`` characters that region and item share, in order of their place in the region."""
     runs: list[list[int]] = []  # place in region, place in item, length
     open_: dict[int, list[int]] = {}
     for p in range(len(region) - fine + 1):
@@ -192,7 +237,7 @@ def chained(grams: dict[str, list[int]], region: str, fine: int, gap: int) -> tu
                 r = [p, q, fine]
                 open_[p - q] = r
                 runs.append(r)
-    return best_chain(runs, gap)
+    return runs
 
 
 def best_chain(runs: list[list[int]], gap: int) -> tuple[int, int]:
@@ -291,16 +336,22 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
 
 def _searcher(shared, step: int, share: float, fine: int, gap: int):
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tests = TestSet(shared.value, step)
+        short, long = [], []
+        for i, t in shared.value:
+            (short if len(bare(t)) < 8 * step else long).append((i, t))
+        brief = ShortItems(short, fine) if short else None
+        tests = TestSet(long, step) if long else None
         names = [c.split()[0] for c in FOUND.split(", ")]
-        overlap = 4 * int(tests.lengths.max()) + gap
+        overlap = 4 * int(tests.lengths.max()) + gap if tests else 0
         window = max(1 << 20, 4 * overlap)
         held, chars = [], 0
         frame = lambda rows: pd.DataFrame(rows, columns=names)
         for batch in batches:
             for d, t in zip(batch["d"], batch["t"]):
                 t = bare(t)
-                if len(t) < 4 * step:
+                if brief and (found := brief.search(int(d), t, share, gap)):
+                    yield frame(found)
+                if tests is None or len(t) < 4 * step:
                     continue
                 for a in range(0, max(1, len(t) - overlap), window - overlap):
                     part = t[a : a + window]
