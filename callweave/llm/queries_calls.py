@@ -54,20 +54,12 @@ t AS (SELECT group_id FROM g JOIN c USING (call_id) WHERE part IS NOT NULL GROUP
 SELECT call_id, group_id FROM g WHERE group_id IN (SELECT group_id FROM t)"""
 
 
-@query("p2_found", P2_SQL)
-def p2_found(spark, sf):
-    calls = table(spark, sf, "calls").select("call_id", "wav_relative_path", "caller_ref", "partition")
-    parts = calls.select(splits.plain_id("call_id").alias("record"), splits.plain_partition("partition").alias("partition"))
-    found = splits.divided_groups(splits.call_edges(calls), parts)
-    return found.select(F.col("record").alias("call_id"), F.col("component").alias("group_id")).distinct()
-
-
 SHARES = {"train": 0.8, "internal_validation": 0.1, "test": 0.1}
 
 
-@query("p2_splits")
-def p2_splits(spark, sf):
-    """Splits of all calls, loaded in three batches by time of arrival."""
+def component_table(spark, sf):
+    """The persisted table of components and splits after all calls have been loaded, in three batches by time of
+    arrival."""
     calls = table(spark, sf, "calls").select("call_id", "gender", "wav_relative_path", "caller_ref", "loaded_at")
     q = calls.agg(F.percentile_approx(F.col("loaded_at").cast("timestamp").cast("double"), F.array(F.lit(0.6), F.lit(0.85)), 1000).alias("q")).first()[0] or [0, 0]
     at = F.coalesce(F.col("loaded_at").cast("timestamp").cast("double"), F.lit(float("inf")))
@@ -80,6 +72,22 @@ def p2_splits(spark, sf):
     return state
 
 
+@query("p2_found", P2_SQL)
+def p2_found(spark, sf):
+    """Groups as the batches leave them in the component table; a group goes by its least record, whichever came first."""
+    calls = table(spark, sf, "calls").select("call_id", "partition")
+    parts = calls.select(splits.plain_id("call_id").alias("record"), splits.plain_partition("partition").alias("partition"))
+    found = splits.divided(component_table(spark, sf).select("record", "component"), parts)
+    names = found.groupBy("component").agg(F.min("record").alias("group_id"))
+    return found.join(names, "component").select(F.col("record").alias("call_id"), "group_id").distinct()
+
+
+@query("p2_splits")
+def p2_splits(spark, sf):
+    """Splits of all calls, loaded in three batches by time of arrival."""
+    return component_table(spark, sf)
+
+
 @query("p5_sample")
 def p5_sample(spark, sf):
     """A tenth of the calls of each partition; the calls arrive in two batches, the second of which adds to the first."""

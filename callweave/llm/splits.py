@@ -60,7 +60,11 @@ def call_edges(calls: DataFrame) -> DataFrame:
 def divided_groups(edges: DataFrame, parts: DataFrame) -> DataFrame:
     """Records of the components whose rows lie in more than one partition. ``parts``: record and partition, rows
     with a null partition count as none."""
-    comp = components(edges, "record", "key")
+    return divided(components(edges, "record", "key"), parts)
+
+
+def divided(comp: DataFrame, parts: DataFrame) -> DataFrame:
+    """The same from a table of records and their components."""
     placed = comp.join(parts.where("partition is not null").distinct(), "record")
     torn = placed.groupBy("component").agg(F.min("partition").alias("a"), F.max("partition").alias("b")).where("a <> b").select("component")
     return comp.join(torn, "component", "left_semi")
