@@ -1,16 +1,18 @@
 """Problem 4: raw transcript lines into clean, ordered speaker turns.
 
-Layouts are mined, not assumed. The head of every line is put into a token tree of fixed depth: its first tokens, with
-digits masked, a bracketed group being one token. Each level is one distributed count over all lines; a token that
-fewer than ``support`` of the lines have falls into the node's wildcard, so a level has at most ``1 / support`` named
-children and only those reach the driver. Slots are inferred per layout:
+Layouts are mined, not assumed, by two flat counts of line heads: the shape of a leading time mark (digits masked), and
+the head token after it (a bracketed group being one token). This is simpler than a token tree of fixed depth: a label
+is not judged for each shape of time mark before it, and no wildcard gathers rare tokens. Each is one distributed
+count over all lines; only forms of at least ``max(20, support x lines)`` lines reach the driver, about ``1 / support``
+at most. Slots are inferred from the lines of a form:
 
 * a *timestamp* slot is a layout of digits and marks whose values agree with the lines' own start times;
 * a *speaker* slot is a head token that carries a delimiter (brackets, a colon, ``>``, a following dash) and that
   lines of known side have on one side only.
 
-Where a layout is too rare to judge, fixed lists of common forms decide. Extraction and cleaning are then regular
-expressions built from the layouts and run in the JVM. Turns are runs of equal sides in order of start.
+Where a form is too rare to judge, fixed lists of common forms decide; a rare form outside them is not recognised.
+Extraction and cleaning are then regular expressions built from the layouts and run in the JVM. Turns are runs of equal
+sides in order of start.
 
 Nulls: a line without text, or with no spoken word left, is in no turn; neither is one without usable times. A null or
 unknown speaker falls back on the label, else the side is ``unknown``. Rows that repeat an id count once (the earliest
