@@ -12,9 +12,9 @@ b AS (SELECT *, lower(regexp_replace(replace(t, '：', ':'), '^\s*((\[\d+:\d+(:\
 r AS (SELECT *, CASE
     WHEN sp IN ('0','0.0','dispatcher','상담원','119대원','spk0') THEN 'dispatcher'
     WHEN sp IN ('1','1.0','reporter','caller','신고자','spk1') THEN 'reporter'
-    WHEN regexp_matches(body, '^\s*(\[상담원\]|(상담원|dispatcher):|119>|접수요원\s+-)') THEN 'dispatcher'
-    WHEN regexp_matches(body, '^\s*(\[신고자\]|(신고자|caller):|신고인>|민원인\s+-)') THEN 'reporter' ELSE 'unknown' END AS role,
-  regexp_replace(regexp_replace(body, '^\s*(\[상담원\]|\[신고자\]|(상담원|dispatcher|신고자|caller):|(119|신고인)>|(접수요원|민원인)\s+-)', ' '),
+    WHEN regexp_matches(body, '^\s*(\[상담원\]|(상담원|dispatcher):|119>|접수요원\s+-|상담원\s+\))') THEN 'dispatcher'
+    WHEN regexp_matches(body, '^\s*(\[신고자\]|(신고자|caller):|신고인>|민원인\s+-|신고자\s+\))') THEN 'reporter' ELSE 'unknown' END AS role,
+  regexp_replace(regexp_replace(body, '^\s*(\[상담원\]|\[신고자\]|(상담원|dispatcher|신고자|caller):|(119|신고인)>|(접수요원|민원인)\s+-|(상담원|신고자)\s+\))', ' '),
     '\(\([^)]*\)\)|[\[(<{【][^\])>}】]*[\])>}】]|\*[^*]*\*|[♪]', ' ', 'g') AS words FROM b),
 k AS (SELECT * FROM r WHERE len(list_filter(list_transform(regexp_split_to_array(words, '\s+'), lambda w: regexp_replace(w, '[^가-힣a-z0-9]', '', 'g')),
     lambda w: w <> '' AND NOT regexp_full_match(w, '으*음+|어+|아아+|에+|흠+|u+m+|u+h+|h+m+|e+r+m*'))) > 0),

@@ -1,18 +1,19 @@
 """Problem 4: raw transcript lines into clean, ordered speaker turns.
 
-Layouts are mined, not assumed, by two flat counts of line heads: the shape of a leading time mark (digits masked), and
-the head token after it (a bracketed group being one token). This is simpler than a token tree of fixed depth: a label
-is not judged for each shape of time mark before it, and no wildcard gathers rare tokens. Each is one distributed
-count over all lines; only forms of at least ``max(20, support x lines)`` lines reach the driver, about ``1 / support``
-at most. Slots are inferred from the lines of a form:
+Layouts are mined, not assumed. The head of a line is cut into at most three *units*: bracketed groups, tokens of digits
+and marks, and words that a delimiter follows (glued to them or after a blank). With digits masked in what looks like a
+time, heads form a token tree of fixed depth: a level a unit, a node for every unit that at least ``support`` lines have
+under the same parent, a wildcard for the rest. Heads are counted once over all lines; the tree is made of that table of
+counts by group-bys and joins, a level at a time, and nothing of it reaches the driver. Slots are inferred for each unit
+in its layout (the path to it), and over all layouts together where its layout has too few lines to judge by:
 
-* a *timestamp* slot is a layout of digits and marks whose values agree with the lines' own start times;
-* a *speaker* slot is a head token that carries a delimiter (brackets, a colon, ``>``, a following dash) and that
-  lines of known side have on one side only.
+* a *timestamp* slot is a shape whose values agree with the lines' own start times;
+* a *speaker* slot is a unit whose lines of known side are on one side, more so than chance allows.
 
-Where a form is too rare to judge, fixed lists of common forms decide; a rare form outside them is not recognised.
-Extraction and cleaning are then regular expressions built from the layouts and run in the JVM. Turns are runs of equal
-sides in order of start.
+A mark that agrees with the start of its own line is a timestamp however rare its shape, and where too few lines show the
+side of a label, the word in it may name a side; no list says how either is laid out. A head ends at the first unit that
+is neither a slot nor a bracketed group. Cleaning is by regular expressions in the JVM. Turns are runs of equal sides in
+order of start.
 
 Nulls: a line without text, or with no spoken word left, is in no turn; neither is one without usable times. A null or
 unknown speaker falls back on the label, else the side is ``unknown``. Rows that repeat an id count once (the earliest
@@ -22,34 +23,38 @@ table gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callweave.operators.intervals import usable
 from callweave.operators.ordered import previous_in_order, running_count
+from callweave.session import durable
 
 # fixed values: spellings of the two sides in the speaker column
 DISPATCHER_VALUES = ["0", "0.0", "dispatcher", "상담원", "119대원", "spk0"]
 REPORTER_VALUES = ["1", "1.0", "reporter", "caller", "신고자", "spk1"]
-# fixed values: words that label a side in a text
-DISPATCHER_LABELS = ["상담원", "접수요원", "접수자", "119대원", "119", "dispatcher", "operator", "spk0"]
-REPORTER_LABELS = ["신고자", "신고인", "민원인", "caller", "reporter", "spk1"]
-# fixed values: forms of time marks, digits masked
-TIME_SHAPES = ["[#:#]", "[#:#:#]", "(#:#.#)", "(#:#:#.#)", "<#.#s>", "<#s>", "#:#:#", "#:#:#.#"]
+# fixed values: words that name a side
+DISPATCHER_WORDS = ["상담원", "접수요원", "접수자", "119대원", "119", "dispatcher", "operator", "spk0"]
+REPORTER_WORDS = ["신고자", "신고인", "민원인", "caller", "reporter", "spk1"]
 # fixed values: hesitation sounds, marks between their letters taken out
 HESITATION = r"으*음+|어+|아아+|에+|흠+|u+m+|u+h+|h+m+|e+r+m*"
 
+DEPTH = 3
 _OPEN, _CLOSE = r"\[(<{【", r"\])>}】"
 _GROUP = rf"\(\([^()]*\)\)|[{_OPEN}][^{_OPEN}{_CLOSE}]*[{_CLOSE}]"  # openers inside would make long runs of them quadratic
-_TOKEN = rf"({_GROUP}|[^\s{_OPEN}]+)"
 _SOUND = rf"{_GROUP}|\*[^*]*\*|[♪♫♬]"
+# what may part a label from what is said: any mark but those that end or stretch a word, quote, or open a group
+_DELIMITER = rf"[^\p{{L}}\p{{N}}\s.,!?…~'\"‘’“”。、♪♫♬*\-–—{_OPEN}]"
+_MARK = rf"[^\p{{L}}\p{{N}}\s{_OPEN}]{{0,2}}\p{{N}}[\p{{N}}:.]{{0,14}}(?:ms|s|초)?[^\p{{L}}\p{{N}}\s{_OPEN}]{{0,2}}(?=\s|$)"
+_LABEL = rf"[\p{{L}}\p{{N}}_]{{1,20}}(?:{_DELIMITER}{{1,2}}|\s{{1,3}}(?:[-–—]|{_DELIMITER}){{1,2}}(?=\s|$))"
+_SHORT_GROUP = rf"\(\([^()]{{1,40}}\)\)|[{_OPEN}][^{_OPEN}{_CLOSE}]{{1,40}}[{_CLOSE}]"
+_UNIT = rf"(?:{_SHORT_GROUP}|{_MARK}|{_LABEL})\s*"
+_TIME = r"^\W*\d+(?:[:.]\d+)*(?:ms|s|초)?\W*$"
 
 
 def _width(col: Column) -> Column:
     """Full-width ASCII as ASCII."""
-    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　 "
+    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　 "
     return F.translate(col, wide, "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + "  ")
 
 
@@ -58,93 +63,126 @@ def side_of(speaker: str) -> Column:
     return F.when(v.isin(DISPATCHER_VALUES), "dispatcher").when(v.isin(REPORTER_VALUES), "reporter")
 
 
-def _shape_regex(shape: str) -> str:
-    return "".join(r"\d+" if c == "#" else re.escape(c) for c in shape)
+def _named(unit: Column) -> Column:
+    """The side that the word in a unit names."""
+    w = F.regexp_replace(unit, r"[^\p{L}\p{N}]", "")
+    return F.when(w.isin(DISPATCHER_WORDS), "dispatcher").when(w.isin(REPORTER_WORDS), "reporter")
+
+
+def _seconds(unit: Column) -> Column:
+    """The value of a time mark: groups of digits, base 60 where colons part them; of ``ms`` a thousandth."""
+    parts = F.transform(F.split(F.regexp_replace(unit, r"[^\d:.]", ""), ":"), lambda p: F.coalesce(p.try_cast("double"), F.lit(-1e9)))
+    return F.aggregate(parts, F.lit(0.0), lambda a, p: a * 60 + p) / F.when(unit.contains("ms"), 1000.0).otherwise(1.0)
+
+
+def with_units(lines: DataFrame, within_ms: int = 1500) -> DataFrame:
+    """``lines`` with ``_units`` (the raw units of the head, blanks after them included), ``_keys`` (the units folded,
+    digits masked in times) and ``_agrees`` (whether each is a time that agrees with ``startAt``); null without a head."""
+    head = F.regexp_extract("_text", rf"^\s*(?:{_UNIT}){{1,{DEPTH}}}", 0)
+    d = lines.withColumn("_head", F.when(head != "", head))
+    d = d.withColumn("_units", F.when(F.col("_head").isNotNull(), F.regexp_extract_all("_head", F.lit(rf"\s*{_UNIT}"), F.lit(0))))
+    fold = lambda u: F.lower(F.regexp_replace(u, r"\s+", ""))
+    time = lambda u: u.rlike(_TIME) & u.rlike(r"\D")
+    key = lambda u: F.when(time(u) & u.rlike(r"\d[:.]\d|\d(?:ms|s|초)|\d{4}"), F.regexp_replace(u, r"\d+", "0")).otherwise(u)
+    near = F.col("startAt")
+    return d.withColumns(
+        {
+            "_keys": F.transform("_units", lambda u: key(fold(u))),
+            "_agrees": F.transform("_units", lambda u: time(fold(u)) & (F.abs(_seconds(fold(u)) * 1000 - near) <= within_ms)),
+        }
+    )
 
 
-def _seconds(token: Column) -> Column:
-    """The value of a time mark: groups of digits, base 60 where colons part them."""
-    parts = F.transform(F.split(F.regexp_replace(token, r"[^\d:.]", ""), ":"), lambda p: F.coalesce(p.try_cast("double"), F.lit(-1e9)))
-    return F.aggregate(parts, F.lit(0.0), lambda a, p: a * 60 + p)
+def _kind(n: Column, known: Column, reporter: Column, agrees: Column, base: float, agree: float, pure: float, evidence: float) -> Column:
+    """What lines show about a unit: ``time``, a side, ``text``, or null where they are too few to tell. ``evidence``: the
+    log-likelihood ratio, against the share ``base`` of the reporter in all, that a side has to reach."""
+    share = reporter / known
+    ratio = lambda p, b: F.when(p > 0, p * F.log(p / b)).otherwise(0.0)
+    sure = known * (ratio(share, F.lit(base)) + ratio(1 - share, F.lit(1 - base))) >= evidence
+    return (
+        F.when((n >= 8) & (agrees >= agree * n), "time")
+        .when((known > 0) & (share >= pure) & sure, "reporter")
+        .when((known > 0) & (share <= 1 - pure) & sure, "dispatcher")
+        .when((known >= 15) & (share < pure) & (share > 1 - pure), "text")
+    )
 
 
-def mine_times(ln: DataFrame, total: int, support: float = 0.0005, agree: float = 0.8, within_ms: int = 1500) -> list[str]:
-    """Shapes of the head token that are time marks. ``total``: the number of lines."""
-    head = F.regexp_extract("_text", "^" + _TOKEN, 1)
-    marked = ln.select(head.alias("t"), "startAt").where(F.col("t").rlike(r"^\W*\d[\d:.]*s?\W*$") & F.col("t").rlike(r"\D"))
-    levels = (
-        marked.groupBy(F.regexp_replace("t", r"\d+", "#").alias("shape"))
-        .agg(F.count(F.lit(1)).alias("n"), F.avg((F.abs(_seconds(F.col("t")) * 1000 - F.col("startAt")) <= within_ms).cast("double")).alias("p"))
-        .where(F.col("n") >= max(20, support * total))
+def mine_layouts(lines: DataFrame, support: int = 20, agree: float = 0.8, pure: float = 0.95, evidence: float = 10.0) -> DataFrame:
+    """The token tree: one row for each distinct head (``_keys``) with the kind of each unit (``kinds``: time, dispatcher,
+    reporter or text) and its layout (``layout``: the path with wildcards). ``lines``: see :func:`with_units`, with the
+    known sides in ``_side``. A stored table; heads without any slot are left out."""
+    heads = durable(
+        lines.where(F.col("_keys").isNotNull())
+        .groupBy("_keys")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count("_side").alias("known"),
+            F.count(F.when(F.col("_side") == "reporter", 1)).alias("rep"),
+            *[F.count(F.when(F.get("_agrees", F.lit(i)), 1)).alias(f"ok{i}") for i in range(DEPTH)],
+        ),
+        "heads",
     )
-    found = {r["shape"]: r["p"] for r in levels.collect()}
-    return sorted({s for s, p in found.items() if p >= agree} | {s for s in TIME_SHAPES if found.get(s, 1.0) >= agree})
-
-
-def mine_labels(ln: DataFrame, total: int, support: float = 0.0005, pure: float = 0.95) -> dict[str, str]:
-    """Head tokens, with their delimiter, that name a side. ``ln`` has the time marks taken out in ``_body``."""
-    t = F.lower(F.regexp_extract("_body", rf"^({_GROUP}|[^\s{_OPEN}>:]+\s*[:>]|[^\s{_OPEN}]+\s+-(?=\s))", 1))
-    t = F.regexp_replace(t, r"\s+", " ")
-    heads = (
-        ln.select(t.alias("t"), "_side")
-        .where("t <> ''")
-        .groupBy("t")
-        .agg(F.count("_side").alias("n"), F.count(F.when(F.col("_side") == "reporter", 1)).alias("r"))
-        .where(F.col("n") >= max(20, support * total))
-        .collect()
+    known, rep = heads.agg(F.sum("known"), F.sum("rep")).first()
+    base = min(max((rep or 0) / max(known or 0, 1), 0.05), 0.95)
+    sums = [F.sum(c).alias(c) for c in ("n", "known", "rep", "ok")]
+    kind = lambda: _kind(F.col("n"), F.col("known"), F.col("rep"), F.col("ok"), base, agree, pure, evidence)
+    levels = [heads.select(F.get("_keys", F.lit(i)).alias("key"), "n", "known", "rep", F.col(f"ok{i}").alias("ok")).where("key is not null") for i in range(DEPTH)]
+    anywhere = levels[0].unionByName(levels[1]).unionByName(levels[2]).groupBy("key").agg(*sums).select("key", kind().alias("any"))
+    tree = heads.withColumn("_path", F.lit(""))
+    for i in range(DEPTH):
+        here = tree.withColumn("key", F.get("_keys", F.lit(i)))
+        node = here.where("key is not null").withColumn("ok", F.col(f"ok{i}")).groupBy(F.col("_path").alias("path"), "key").agg(*sums)
+        node = node.select("path", F.col("key").alias("unit"), (F.col("n") >= support).alias("node"), kind().alias("own")).join(anywhere, F.col("unit") == F.col("key"), "left").drop("key")
+        judged = F.coalesce(F.when(F.col("node"), F.col("own")), F.col("any"), _named(F.col("unit")), F.lit("text"))
+        node = node.select("path", "unit", judged.alias(f"kind{i}"), F.concat("path", F.lit("\u0001"), F.when(F.col("node"), F.col("unit")).otherwise("*")).alias("next"))
+        tree = here.join(node, (F.col("_path") == F.col("path")) & (F.col("key") == F.col("unit")), "left").withColumn("_path", F.coalesce("next", "_path")).drop("key", "path", "unit", "next")
+    kinds = F.array_compact(F.array(*[f"kind{i}" for i in range(DEPTH)]))
+    return durable(tree.select("_keys", kinds.alias("kinds"), F.col("_path").alias("layout")).where(F.exists("kinds", lambda k: k != "text")), "layouts")
+
+
+def _slots(kinds: Column) -> Column:
+    """How many units the head has up to its last slot."""
+    reach = F.aggregate(
+        F.sequence(F.lit(0), F.size("_units") - 1),
+        F.struct(F.lit(0).alias("cut"), F.lit(True).alias("open")),
+        lambda a, i: F.struct(
+            F.when(a["open"] & (F.get(kinds, i) != "text"), i + 1).otherwise(a["cut"]).alias("cut"),
+            (a["open"] & ((F.get(kinds, i) != "text") | F.get("_units", i).rlike(rf"^\s*[{_OPEN}]"))).alias("open"),
+        ),
     )
-    mined = {}
-    for row in heads:
-        share = row["r"] / row["n"]
-        if share >= pure:
-            mined[row["t"]] = "reporter"
-        elif share <= 1 - pure:
-            mined[row["t"]] = "dispatcher"
-    for words, side in ((DISPATCHER_LABELS, "dispatcher"), (REPORTER_LABELS, "reporter")):
-        for w in words:
-            for form in (f"[{w}]", f"({w})", f"<{w}>", f"{w}:", f"{w}>", f"{w} -"):
-                mined.setdefault(form, side)
-    return mined
+    return reach["cut"]
 
 
 def clean_lines(u: DataFrame, text: bool = True) -> DataFrame:
     """``call_id, id, startAt, endAt, role`` and, with ``text``, ``spoken`` of every usable line with a spoken word, each
-    id once. Lines are cleaned where they are scanned, so without ``text`` none is shuffled. Layouts are mined from the
-    rows as they are scanned; repeated rows weigh twice there, which decides nothing."""
-    raw = u.where(usable()).select(
-        "call_id",
-        "id",
-        "startAt",
-        "endAt",
-        "loaded_at",
-        F.coalesce(F.concat(F.lit("i"), "id"), F.concat(F.lit("r"), F.xxhash64("call_id", "startAt", "endAt", "text", "speaker").cast("string"))).alias("_key"),
-        _width(F.trim(F.col("text"))).alias("_text"),
-        side_of("speaker").alias("_side"),
-    )
-    total = raw.count()
-    times = sorted(mine_times(raw, total), key=len, reverse=True)
-    time_re = "|".join(_shape_regex(s) for s in times)
-    body = raw.withColumn("_body", F.regexp_replace("_text", rf"^\s*(?:(?:{time_re})\s*)+", ""))
-    labels = mine_labels(body, total)
-
-    def alternatives(side: str) -> str:
-        forms = sorted((t for t, s in labels.items() if s == side), key=lambda t: (-len(t), t))
-        return "|".join(re.escape(t).replace(r"\ ", r"\s+") for t in forms)
-
-    d, r = (rf"(?iu)^\s*(?:{alternatives(s)})" for s in ("dispatcher", "reporter"))
-    both = rf"(?iu)^\s*(?:{alternatives('dispatcher')}|{alternatives('reporter')})\s*(?:(?:{time_re})\s*)*"
-    role = F.coalesce("_side", F.when(F.col("_body").rlike(d), "dispatcher").when(F.col("_body").rlike(r), "reporter"), F.lit("unknown"))
-    rest = F.regexp_replace(F.regexp_replace("_body", both, " "), _SOUND, " ")
+    id once. Lines are cleaned where they are scanned, so without ``text`` none is shuffled: the table of layouts is read
+    from storage, small enough to be broadcast in general and joined by shuffle where Spark finds it is not (lines without
+    a head are spread then). Layouts are mined from the rows as they are scanned; repeated rows weigh twice there, which
+    decides nothing."""
+    raw = u.where(usable() & F.col("text").isNotNull()).select("call_id", "id", "startAt", "endAt", "loaded_at", "text", "speaker", _width(F.trim(F.col("text"))).alias("_text"), side_of("speaker").alias("_side"))
+    lines = with_units(raw)
+    layouts = mine_layouts(lines)
+    spread = F.array(F.concat(F.lit("\u0000"), F.pmod(F.xxhash64("id", "startAt"), F.lit(4096)).cast("string")))
+    keyed = lines.withColumn("_at", F.coalesce("_keys", spread)).join(layouts.select(F.col("_keys").alias("_at"), "kinds"), "_at", "left")
+    kinds = F.transform("_units", lambda _, i: F.coalesce(F.nullif(F.get("kinds", i), F.lit("text")), F.when(F.get("_agrees", i), "time"), F.lit("text")))
+    placed = keyed.withColumn("_kinds", kinds).withColumn("_cut", F.when(F.col("_units").isNull(), 0).otherwise(_slots(F.col("_kinds"))))
+    slots = F.slice("_kinds", 1, F.col("_cut"))
+    label = F.get(F.filter(slots, lambda k: k.isin("dispatcher", "reporter")), F.lit(0))
+    length = F.aggregate(F.slice("_units", 1, F.col("_cut")), F.lit(0), lambda a, x: a + F.length(x))
+    body = F.when(F.col("_cut") > 0, F.substring(F.col("_text"), length + 1, F.length("_text"))).otherwise(F.col("_text"))
+    rest = F.regexp_replace(body, _SOUND, " ")
     rest = F.regexp_replace(rest, r"(?<![\d:])\d{1,2}:\d{2}(?::\d{2})?(?:\.\d+)?(?![\d:])", " ")
     bare = lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}]|[ㄱ-ㆎ]", ""))
-    words = F.filter(F.split(rest, r"(?U)\s+"), lambda w: (bare(w) != "") & ~bare(w).rlike(rf"^(?:{HESITATION})$"))
-    spoken = F.array_join(words, " ") if text else (F.size(words) > 0)
-    line = ["call_id", "id", "startAt", "endAt", "role", "spoken"]
+    spoken_word = lambda w: (bare(w) != "") & ~bare(w).rlike(rf"^(?:{HESITATION})$")
+    split = F.split(rest, r"(?U)\s+")
+    spoken = F.array_join(F.filter(split, spoken_word), " ") if text else F.exists(split, spoken_word)
+    line = ["call_id", "startAt", "endAt", "role", "spoken"]
+    twin = F.when(F.col("id").isNull(), F.xxhash64("call_id", "startAt", "endAt", "text", "speaker"))
     once = (
-        body.select("_key", "loaded_at", "call_id", "id", "startAt", "endAt", role.alias("role"), spoken.alias("spoken"))
-        .groupBy("_key")
-        .agg(F.min_by(F.struct(*line), F.struct("loaded_at", *line)).alias("r"))
-        .select("r.*")
+        placed.select("id", twin.alias("_twin"), "loaded_at", "call_id", "startAt", "endAt", F.coalesce("_side", label, F.lit("unknown")).alias("role"), spoken.alias("spoken"))
+        .groupBy("id", "_twin")
+        .agg(F.min(F.struct("loaded_at", *line)).alias("r"))
+        .select("id", *[F.col("r")[c].alias(c) for c in line])
     )
     return once.where("spoken <> ''") if text else once.where("spoken").drop("spoken")
 
