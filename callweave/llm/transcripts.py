@@ -55,7 +55,8 @@ _TIME = r"^\W*\d+(?:[:.]\d+)*(?:ms|s|초)?\W*$"
 def _width(col: Column) -> Column:
     """Full-width ASCII as ASCII."""
     wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　 "
-    return F.translate(col, wide, "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + "  ")
+    narrow = F.translate(col, wide, "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + "  ")
+    return F.when(col.rlike("[\uff01-\uff5e\u3000\u00a0]"), narrow).otherwise(col)
 
 
 def side_of(speaker: str) -> Column:
@@ -171,11 +172,13 @@ def clean_lines(u: DataFrame, text: bool = True) -> DataFrame:
     length = F.aggregate(F.slice("_units", 1, F.col("_cut")), F.lit(0), lambda a, x: a + F.length(x))
     body = F.when(F.col("_cut") > 0, F.substring(F.col("_text"), length + 1, F.length("_text"))).otherwise(F.col("_text"))
     rest = F.regexp_replace(body, _SOUND, " ")
-    rest = F.regexp_replace(rest, r"(?<![\d:])\d{1,2}:\d{2}(?::\d{2})?(?:\.\d+)?(?![\d:])", " ")
-    bare = lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}]|[ㄱ-ㆎ]", ""))
-    spoken_word = lambda w: (bare(w) != "") & ~bare(w).rlike(rf"^(?:{HESITATION})$")
-    split = F.split(rest, r"(?U)\s+")
-    spoken = F.array_join(F.filter(split, spoken_word), " ") if text else F.exists(split, spoken_word)
+    rest = F.when(rest.contains(":"), F.regexp_replace(rest, r"(?<![\d:])\d{1,2}:\d{2}(?::\d{2})?(?:\.\d+)?(?![\d:])", " ")).otherwise(rest)
+    bare = lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}\s]|[ㄱ-ㆎ]", ""))
+    if text:
+        words = F.filter(F.split(rest, r"(?U)\s+"), lambda w: (bare(w) != "") & ~bare(w).rlike(rf"^(?:{HESITATION})$"))
+        spoken = F.array_join(words, " ")
+    else:
+        spoken = bare(rest).rlike(rf"(?U)(?<!\S)(?!(?:{HESITATION})(?!\S))\S")
     line = ["call_id", "startAt", "endAt", "role", "spoken"]
     twin = F.when(F.col("id").isNull(), F.xxhash64("call_id", "startAt", "endAt", "text", "speaker"))
     once = (
