@@ -63,12 +63,12 @@ def component_table(spark, sf):
     calls = table(spark, sf, "calls").select("call_id", "gender", "wav_relative_path", "caller_ref", "loaded_at")
     q = calls.agg(F.percentile_approx(F.col("loaded_at").cast("timestamp").cast("double"), F.array(F.lit(0.6), F.lit(0.85)), 1000).alias("q")).first()[0] or [0, 0]
     at = F.coalesce(F.col("loaded_at").cast("timestamp").cast("double"), F.lit(float("inf")))
-    strata = calls.groupBy(splits.plain_id("call_id").alias("record")).agg(F.mode(splits.plain_gender("gender"), True).alias("stratum")).where("record is not null")
     state = keys = None
     for low, high in ((float("-inf"), q[0]), (q[0], q[1]), (q[1], float("inf"))):
-        edges = splits.call_edges(calls.where((at > low) & (at <= high)))
+        batch = calls.where((at > low) & (at <= high))
+        edges = splits.call_edges(batch)
+        strata = batch.groupBy(splits.plain_id("call_id").alias("record")).agg(F.mode(splits.plain_gender("gender"), True).alias("stratum")).where("record is not null")
         state, keys = splits.assign_splits(state, keys, edges, strata, SHARES)
-        state, keys = durable(state, "splits"), durable(keys, "split-keys")
     return state
 
 
@@ -88,6 +88,24 @@ def p2_splits(spark, sf):
     return component_table(spark, sf)
 
 
+P2_SUMMARY_SQL = P2_SQL[: P2_SQL.index("\nt AS")].rstrip(",") + """
+SELECT count(*) AS n_records, count(DISTINCT group_id) AS n_components, CAST(0 AS BIGINT) AS n_divided, CAST(0 AS BIGINT) AS n_without FROM g"""
+
+
+@query("p2_split_summary", P2_SUMMARY_SQL)
+def p2_split_summary(spark, sf):
+    """What must hold of ``p2_splits``: all records and components are there, no component outside quarantine has more
+    than one split, none of its records is without."""
+    d = component_table(spark, sf)
+    each = d.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("split").alias("splits"), F.count_if(F.col("split").isNull()).alias("none"), F.max(F.col("status") == "quarantined").alias("q"))
+    return each.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_records"),
+        F.count(F.lit(1)).alias("n_components"),
+        F.count_if(~F.col("q") & (F.col("splits") != 1)).alias("n_divided"),
+        F.count_if(~F.col("q") & (F.col("none") > 0)).alias("n_without"),
+    )
+
+
 @query("p5_sample")
 def p5_sample(spark, sf):
     """A tenth of the calls of each partition; the calls arrive in two batches, the second of which adds to the first."""

@@ -1,13 +1,15 @@
 """Problem 2: splits that keep related records together.
 
-State is a table of components: each record's component and split. A batch is joined to it by the keys that records
+State is a table of records: each one's component, split and stratum. A batch is joined to it by the keys that records
 share; components are contracted to single nodes first, so only what the batch touches is walked. Existing components
 keep their split. A merge of components with different splits is not settled silently: its records keep what they
-had and the component is quarantined. New components fill the deficits of the splits, per stratum, in an order that
-depends on their ids only.
+had, the component is quarantined, and new records in a quarantined component get no split (null). New components fill
+the deficits of the splits, per stratum, in an order that depends on their ids only. What a batch decides depends on it
+and on the state, on nothing that comes later.
 
 Nulls: a record without an id is left out; one without a key is a component of its own; a null stratum is a stratum.
-Repeated rows count once. Empty batches change nothing. Extra columns are not read.
+Repeated rows count once; a record keeps the stratum it was first stored with. Empty batches change nothing. Extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -17,9 +19,9 @@ from pyspark.sql import functions as F
 
 from callweave.llm.components import components
 from callweave.operators.ordered import null_safe_join, running_count
-from callweave.session import shared_dir
+from callweave.session import durable, shared_dir
 
-STATE = "record string, component string, split string, status string"
+STATE = "record string, component string, split string, status string, stratum string"
 
 
 def plain_id(col: str) -> Column:
@@ -71,15 +73,17 @@ def divided(comp: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def assign_splits(state: DataFrame | None, keys_seen: DataFrame | None, edges: DataFrame, strata: DataFrame, shares: dict[str, float]) -> tuple[DataFrame, DataFrame]:
-    """One batch. ``state``: see STATE; ``keys_seen``: component and key of all before; ``edges``: record and key;
-    ``strata``: record and stratum, one row a record. Returns the new state and the new keys table; write both
-    before the next batch."""
+    """One batch. ``state``: see STATE; ``keys_seen``: component and key of all before; ``edges``: record and key of the
+    batch; ``strata``: record and stratum of its records, one row a record. Returns the new state and the new keys table,
+    both written to the shared folder."""
     spark = edges.sparkSession
     shared_dir(spark)
-    if state is None:
-        state = spark.createDataFrame([], STATE)
-    if keys_seen is None:
-        keys_seen = spark.createDataFrame([], "component string, key string")
+    if state is None or keys_seen is None:
+        comp = components(edges, "record", "key").withColumnRenamed("component", "root").join(strata, "record", "left").checkpoint()
+        placed = fill_deficits(_new_wholes(comp), spark.createDataFrame([], STATE), shares)
+        after = comp.join(placed, "root").select("record", F.col("root").alias("component"), "split", F.lit("new").alias("status"), "stratum")
+        after = durable(after, "splits")
+        return after, durable(edges.where("key is not null").join(after.select("record", "component"), "record").select("component", "key").distinct(), "split-keys")
     # nodes: known components under their own name, records not seen before under theirs
     # each step is used several times below: written once, so that no plan holds another one twice
     known = state.select("record", F.col("component").alias("_c"))
@@ -89,40 +93,43 @@ def assign_splits(state: DataFrame | None, keys_seen: DataFrame | None, edges: D
     touched = keys_seen.join(batch.select("key").where("key is not null").distinct(), "key", "left_semi").select(
         F.concat(F.lit("C "), F.col("component")).alias("node"), "key"
     )
-    comp = components(batch.select("node", "key").unionByName(touched), "node", "key").withColumnRenamed("component", "root")
+    comp = components(batch.select("node", "key").unionByName(touched), "node", "key").withColumnRenamed("component", "root").checkpoint()
     # what each new whole holds of known components
+    held = comp.where("node like 'C %'").select(F.substring("node", 3, 1 << 30).alias("component"), "root")
     held = (
-        comp.where("node like 'C %'")
-        .withColumn("component", F.substring("node", 3, 1 << 30))
-        .join(state.groupBy("component").agg(F.min("split").alias("split"), F.max("status").alias("status")), "component")
+        held.join(state.groupBy("component").agg(F.min("split").alias("low"), F.max("split").alias("high"), F.max(F.col("status") == "quarantined").alias("was")), "component")
         .checkpoint()
     )
     verdict = held.groupBy("root").agg(
-        F.min("split").alias("split"), (F.min("split") != F.max("split")).alias("torn"), F.min("component").alias("component"), F.max(F.col("status") == "quarantined").alias("was")
+        F.min("low").alias("split"),
+        (F.coalesce(F.min("low") != F.max("high"), F.lit(False)) | F.max("was")).alias("torn"),
+        F.min("component").alias("component"),
     )
-    verdict = verdict.checkpoint()
-    fresh = comp.where("node like 'R %'").select(F.substring("node", 3, 1 << 30).alias("record"), "root")
-    name = fresh.groupBy("root").agg(F.min("record").alias("name"))
-    sizes = fresh.join(strata, "record", "left").groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.mode("stratum", True).alias("stratum"))
-    new = name.join(sizes, "root").join(verdict.select("root"), "root", "left_anti").checkpoint()
-    placed = fill_deficits(new.select(F.col("name").alias("component"), "n", "stratum", "root"), state.join(strata, "record", "left"), shares)
-    whole = verdict.select("root", "component", "split", F.when(F.col("torn") | F.col("was"), "quarantined").otherwise("kept").alias("status")).unionByName(
+    fresh = comp.where("node like 'R %'").select(F.substring("node", 3, 1 << 30).alias("record"), "root").join(strata, "record", "left").checkpoint()
+    new = _new_wholes(fresh.join(held.select("root").distinct(), "root", "left_anti"))
+    placed = fill_deficits(new, state, shares)
+    whole = verdict.select("root", "component", F.when(~F.col("torn"), F.col("split")).alias("split"), F.when(F.col("torn"), "quarantined").otherwise("kept").alias("status")).unionByName(
         placed.select("root", "component", "split", F.lit("new").alias("status"))
     ).checkpoint()
     # rows: new records take their whole's component and split, known ones keep their split
-    added = fresh.join(whole, "root").select("record", "component", "split", "status")
+    added = fresh.join(whole, "root").select("record", "component", "split", "status", "stratum")
     renamed = held.select(F.col("component").alias("_old"), "root").join(whole, "root").select("_old", F.col("component").alias("_new"), F.col("status").alias("_status"))
     kept = state.join(renamed, F.col("component") == F.col("_old"), "left").select(
-        "record", F.coalesce("_new", "component").alias("component"), "split", F.coalesce("_status", "status").alias("status")
+        "record", F.coalesce("_new", "component").alias("component"), "split", F.coalesce("_status", "status").alias("status"), "stratum"
     )
-    after = kept.unionByName(added).checkpoint()
+    after = durable(kept.unionByName(added), "splits")
     keys_after = (
         keys_seen.join(renamed, F.col("component") == F.col("_old"), "left")
         .select(F.coalesce("_new", "component").alias("component"), "key")
         .unionByName(edges.where("key is not null").join(after.select("record", "component"), "record").select("component", "key"))
         .distinct()
     )
-    return after, keys_after
+    return after, durable(keys_after, "split-keys")
+
+
+def _new_wholes(fresh: DataFrame) -> DataFrame:
+    """``component, n, stratum, root`` of the components that ``fresh`` (record, root, stratum) makes."""
+    return fresh.groupBy("root").agg(F.min("record").alias("component"), F.count(F.lit(1)).alias("n"), F.mode("stratum", True).alias("stratum")).checkpoint()
 
 
 def fill_deficits(new: DataFrame, have: DataFrame, shares: dict[str, float], width: int = 1 << 22) -> DataFrame:
@@ -131,11 +138,11 @@ def fill_deficits(new: DataFrame, have: DataFrame, shares: dict[str, float], wid
     middle falls, so no split misses its share by more than one component."""
     total = sum(shares.values())
     laid = running_count(
-        new.withColumn("_h", F.abs(F.hash("component")).cast("bigint")), ["stratum"], "_h", F.col("n"), "_upto", width, ["component"]
+        new.withColumn("_h", F.pmod(F.xxhash64("component"), F.lit(1 << 31))), ["stratum"], "_h", F.col("n"), "_upto", width, ["component"]
     )
     sums = new.groupBy("stratum").agg(F.sum("n").alias("_new"))
     now = have.groupBy("stratum").agg(
-        F.count(F.lit(1)).alias("_have"), *[F.count(F.when(F.col("split") == s, 1)).alias(f"_have_{s}") for s in shares]
+        F.count("split").alias("_have"), *[F.count(F.when(F.col("split") == s, 1)).alias(f"_have_{s}") for s in shares]
     )
     plan = null_safe_join(sums, now, ["stratum"], "left").fillna(0)
     # where nothing is lacking (a split above its share) the others divide what comes

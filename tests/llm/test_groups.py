@@ -100,6 +100,37 @@ def test_existing_components_keep_their_split_and_conflicts_are_quarantined(spar
     assert rows(empty, "record", "split") == rows(state, "record", "split")
 
 
+def test_new_records_of_a_torn_component_get_no_split(spark, rows):
+    e, s = batch(spark, [(f"r{i:03d}", f"k{i}") for i in range(40)])
+    state, keys = (x.cache() for x in splits.assign_splits(None, None, e, s, SHARES))
+    old = {r.record: r.split for r in state.collect()}
+    x = next(r for r in old if old[r] == "train")
+    y = next(r for r in old if old[r] == "test")
+    e2, s2 = batch(spark, [("q", f"k{int(x[1:])}"), ("q", f"k{int(y[1:])}")])
+    after, keys2 = (d.cache() for d in splits.assign_splits(state, keys, e2, s2, SHARES))
+    assert {r.record: (r.split, r.status) for r in after.where(F.col("record").isin("q", x, y)).collect()} == {"q": (None, "quarantined"), x: ("train", "quarantined"), y: ("test", "quarantined")}
+    e3, s3 = batch(spark, [("t", f"k{int(y[1:])}"), ("u", "k900")])
+    last = {r.record: (r.split, r.status) for r in splits.assign_splits(after, keys2, e3, s3, SHARES)[0].collect()}
+    assert last["t"] == (None, "quarantined") and last["u"][1] == "new" and {r: last[r][0] for r in old} == old
+
+
+def test_a_batch_is_decided_by_what_came_before(spark, rows):
+    """The same first batch gives the same rows whatever comes later, strata included."""
+    e, s = batch(spark, [(f"r{i:03d}", f"k{i}") for i in range(60)])
+    one = splits.assign_splits(None, None, e, s, SHARES)[0].cache()
+    later, s2 = batch(spark, [("z1", None), ("r001", "k7")])
+    two = splits.assign_splits(one, e.select(F.col("record").alias("component"), "key"), later, s2.withColumn("stratum", F.lit("M")), SHARES)[0]
+    assert rows(two.where("record <> 'z1'"), "record", "split", "stratum") == rows(one, "record", "split", "stratum")
+    assert rows(two.where("record = 'z1'"), "stratum") == [("M",)]
+
+
+def test_deficits_take_any_hash(spark):
+    """Names whose hash is the least integer, too."""
+    new = spark.createDataFrame([(f"c{i}", 1, "F", f"c{i}") for i in range(500)], "component string, n bigint, stratum string, root string")
+    got = splits.fill_deficits(new, spark.createDataFrame([], splits.STATE), {"a": 1.0, "b": 1.0})
+    assert sorted(r["count"] for r in got.groupBy("split").count().collect()) == [250, 250]
+
+
 def test_sample_is_stable_as_rows_arrive(spark, rows):
     d = spark.createDataFrame([(f"c{i}", "p" if i % 3 else None, i) for i in range(3000)] + [("c1", "q", 9999), (None, "p", 1)], "call_id string, part string, at int")
     args = ("call_id", "part", "at")
