@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from callweave.operators.ordered import null_safe_join, value_ranks
+from callweave.operators.ordered import BUCKET, KEY, keyed, null_safe_join, value_ranks
 
 
 def usable(start: str = "startAt", end: str = "endAt") -> Column:
@@ -38,16 +38,34 @@ def gaps(df: DataFrame, entity: list[str], start: str = "startAt", end: str = "e
 
 
 def periods(df: DataFrame, entity: list[str], start: str = "startAt", end: str = "endAt", width: int = 600_000) -> DataFrame:
-    """The continuous periods of each entity: ``period_no`` from 1, ``period_start``, ``period_end``. Boundaries are
-    those of :func:`gaps` with the first start and the last end; the i-th start and the i-th end make a period."""
-    s = _spans(df, entity, start, end)
-    g = gaps(df, entity, start, end, 1, width)
-    edge = s.groupBy(*entity).agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"))
-    first = value_ranks(g.select(*entity, F.col("gap_end").alias("v")).unionByName(edge.select(*entity, F.col("_s").alias("v"))), entity, "v", width)
-    last = value_ranks(g.select(*entity, F.col("gap_start").alias("v")).unionByName(edge.select(*entity, F.col("_e").alias("v"))), entity, "v", width)
-    a = first.select(*entity, F.col("through").alias("period_no"), F.col("value").alias("period_start"))
-    b = last.select(*entity, F.col("through").alias("period_no"), F.col("value").alias("period_end"))
-    return null_safe_join(a, b, [*entity, "period_no"]).select(*entity, "period_no", "period_start", "period_end")
+    """The continuous periods of each entity: ``period_no`` from 1, ``period_start``, ``period_end``. Spans of one start
+    are one row, its latest end. A start opens a period if it lies beyond every earlier end: the greatest of those in its
+    bucket of ``width`` is a running maximum, that of all earlier buckets one row a bucket. A period ends with the
+    greatest end before the next opening; numbers and ends that lie in other buckets also come by one row a bucket, so
+    spans are shuffled to (entity, bucket) once and an entity of any size is spread."""
+    s = keyed(_spans(df, entity, start, end), entity, "_s", width).groupBy(KEY, BUCKET, "_s").agg(F.max("_e").alias("_e"))
+    inside, earlier = Window.partitionBy(KEY, BUCKET).orderBy("_s"), Window.partitionBy(KEY).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    run = s.withColumn("_run", F.max("_e").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    tops = s.groupBy(KEY, BUCKET).agg(F.max("_e").alias("_top")).select(KEY, BUCKET, F.max("_top").over(earlier).alias("_carry"))
+    before = run.join(tops, [KEY, BUCKET]).select(KEY, BUCKET, "_s", "_e", F.greatest("_run", "_carry").alias("_before"))
+    opens = F.col("_before").isNull() | (F.col("_s") > F.col("_before"))
+    opened = before.where(opens).drop("_e")
+    opened = opened.withColumn("_i", F.row_number().over(inside)).withColumn("_end", F.lead("_before").over(inside))
+    after = Window.partitionBy(KEY).orderBy(BUCKET).rowsBetween(1, Window.unboundedFollowing)
+    buckets = opened.groupBy(KEY, BUCKET).agg(F.count(F.lit(1)).alias("_n"), F.min_by("_before", "_s").alias("_first"))
+    ends = s.groupBy(KEY).agg(F.max("_e").alias("_last"))
+    across = buckets.select(
+        KEY,
+        BUCKET,
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"),
+        F.first("_first", ignorenulls=True).over(after).alias("_next"),
+    ).join(ends, KEY)
+    return opened.join(across, [KEY, BUCKET]).select(
+        *[F.col(KEY)[c].alias(c) for c in entity],
+        (F.col("_base") + F.col("_i")).cast("bigint").alias("period_no"),
+        F.col("_s").alias("period_start"),
+        F.coalesce("_end", "_next", "_last").alias("period_end"),
+    )
 
 
 def union_small(df: DataFrame, entity: list[str], start: str, end: str) -> DataFrame:
@@ -59,20 +77,10 @@ def union_small(df: DataFrame, entity: list[str], start: str, end: str) -> DataF
     return island.groupBy(*entity, "_island").agg(F.min(start).alias("start_ms"), F.max(end).alias("end_ms")).drop("_island")
 
 
-def overlap(a: DataFrame, b: DataFrame, entity: list[str], s: str = "start_ms", e: str = "end_ms") -> DataFrame:
-    """Total overlap per entity of two sets of disjoint intervals: join on the entity with the overlap as residual."""
-    b = b.select(*entity, F.col(s).alias("_bs"), F.col(e).alias("_be"))
-    return (
-        a.join(b, entity)
-        .where((F.col(s) < F.col("_be")) & (F.col("_bs") < F.col(e)))
-        .groupBy(*entity)
-        .agg(F.sum(F.least(e, "_be") - F.greatest(s, "_bs")).alias("overlap_ms"))
-    )
-
-
 def bucketed_overlap(a: DataFrame, b: DataFrame, entity: list[str], s: str = "start_ms", e: str = "end_ms", width: int = 60_000) -> DataFrame:
-    """As :func:`overlap`, for entities of any size: both sides are listed under every bucket of ``width`` that they
-    touch, joined on (entity, bucket), and a pair counts in each bucket only what lies in it."""
+    """Total overlap per entity of two sets of disjoint intervals, for entities of any size: both sides are listed under
+    every bucket of ``width`` that they touch, joined on (entity, bucket), and a pair counts in each bucket only what lies
+    in it. Disjoint intervals in a bucket of bounded width are few."""
 
     def listed(d: DataFrame, p: str) -> DataFrame:
         first, last = F.floor(F.col(s) / width), F.floor((F.col(e) - 1) / width)

@@ -11,13 +11,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callweave.operators.checks import enforce
+from callweave.operators.stats import exact_quantiles
 
 
 def train_statistics(df: DataFrame, columns: Sequence[str], train: Column) -> DataFrame:
     """One row: median, mean and population deviation of every column over the training rows. Deviation and mean
     are those after missing values are replaced by the median."""
     x = {c: F.when(train, F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))) for c in columns}
-    med = df.agg(*[F.median(x[c]).alias(f"{c}_median") for c in columns])
+    long = df.where(train).select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), x[c].alias("v")) for i, c in enumerate(columns)])).alias("z")).select("z.*")
+    q = exact_quantiles(long, ["c"], "v", [0.5])
+    med = q.agg(*[F.max(F.when(F.col("c") == i, F.col("quantile"))).alias(f"{c}_median") for i, c in enumerate(columns)])
     filled = df.where(train).join(F.broadcast(med)).select(*[F.coalesce(x[c], F.col(f"{c}_median")).alias(c) for c in columns])
     rest = filled.agg(*[f(c).alias(f"{c}_{n}") for c in columns for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
     return med.join(F.broadcast(rest))

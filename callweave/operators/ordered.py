@@ -14,78 +14,64 @@ from pyspark.sql import functions as F
 BUCKET = "_bucket"
 
 
+KEY = "_key"
+
+
 def bucket_of(value: str, width: int) -> Column:
-    return F.floor(F.col(value) / F.lit(width)).cast("bigint")
+    """The bucket of a value; nulls have one of their own, before all others."""
+    return F.coalesce(F.floor(F.col(value) / F.lit(width)).cast("bigint"), F.lit(-(1 << 62)))
+
+
+def keyed(df: DataFrame, entity: list[str], order: str, width: int) -> DataFrame:
+    """``df`` with the entity as one struct, in which nulls are equal, and the bucket of ``order``. Windows and plain
+    joins on the two share one partitioning, which a null-safe join on the columns would not."""
+    return df.withColumns({KEY: F.struct(*entity) if entity else F.lit(0), BUCKET: bucket_of(order, width)})
 
 
 def value_ranks(df: DataFrame, entity: list[str], value: str, width: int = 600_000) -> DataFrame:
     """One row for each entity and distinct ``value`` (nulls left out): ``n`` rows have it, ``before`` rows of the
     entity have a smaller one and ``through`` rows a smaller or equal one."""
-    w = Window.partitionBy(*entity, BUCKET)
     counted = (
-        df.where(F.col(value).isNotNull())
-        .select(*entity, bucket_of(value, width).alias(BUCKET), F.col(value).alias("value"))
-        .groupBy(*entity, BUCKET, "value")
+        keyed(df.where(F.col(value).isNotNull()), entity, value, width)
+        .groupBy(KEY, BUCKET, F.col(value).alias("value"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
     inner = counted.withColumn(
-        "_in", F.sum("n").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    )
-    totals = (
-        counted.groupBy(*entity, BUCKET)
-        .agg(F.sum("n").alias("_t"))
-        .withColumn(
-            "_base",
-            F.coalesce(
-                F.sum("_t").over(
-                    Window.partitionBy(*entity).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-                ),
-                F.lit(0),
-            ),
-        )
-        .drop("_t")
+        "_in", F.sum("n").over(Window.partitionBy(KEY, BUCKET).orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
     )
-    keys = [*entity, BUCKET]
+    totals = counted.groupBy(KEY, BUCKET).agg(F.sum("n").alias("_t")).select(KEY, BUCKET, _sum_before("_t").alias("_base"))
     return (
-        null_safe_join(inner, totals, keys)
+        inner.join(totals, [KEY, BUCKET])
         .withColumn("through", F.col("_base") + F.col("_in"))
-        .select(*entity, "value", "n", (F.col("through") - F.col("n")).alias("before"), "through")
+        .select(*[F.col(KEY)[e].alias(e) for e in entity], "value", "n", (F.col("through") - F.col("n")).alias("before"), "through")
     )
 
 
+def _sum_before(col: str) -> Column:
+    """The sum over an entity's earlier buckets."""
+    return F.coalesce(F.sum(col).over(Window.partitionBy(KEY).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
 def previous_in_order(df: DataFrame, entity: list[str], order: str, carry: list[str], width: int = 600_000, tie: list[str] | None = None) -> DataFrame:
     """``df`` with ``prev_<c>`` for each ``c`` of ``carry``: the value in the row before it, in order of ``order``
     and then ``tie``, of the same entity. Null in an entity's first row."""
     ordering = [order, *(tie or [])]
-    keys = [*entity, BUCKET]
-    b = df.withColumn(BUCKET, bucket_of(order, width))
-    inside = Window.partitionBy(*keys).orderBy(*ordering)
+    b = keyed(df, entity, order, width)
     packed = F.struct(*[F.col(c).alias(c) for c in carry])
-    inner = b.withColumn("_prev", F.lag(packed).over(inside))
-    last = b.groupBy(*keys).agg(F.max_by(packed, F.struct(*ordering)).alias("_last"))
-    across = last.withColumn("_before", F.lag("_last").over(Window.partitionBy(*entity).orderBy(BUCKET))).drop("_last")
-    joined = null_safe_join(inner, across, keys)
+    inner = b.withColumn("_prev", F.lag(packed).over(Window.partitionBy(KEY, BUCKET).orderBy(*ordering)))
+    last = b.groupBy(KEY, BUCKET).agg(F.max_by(packed, F.struct(*ordering)).alias("_last"))
+    across = last.select(KEY, BUCKET, F.lag("_last").over(Window.partitionBy(KEY).orderBy(BUCKET)).alias("_before"))
     src = F.coalesce(F.col("_prev"), F.col("_before"))
-    return joined.select(*df.columns, *[src[c].alias(f"prev_{c}") for c in carry])
+    return inner.join(across, [KEY, BUCKET]).select(*df.columns, *[src[c].alias(f"prev_{c}") for c in carry])
 
 
 def running_count(df: DataFrame, entity: list[str], order: str, flag: Column, out: str, width: int = 600_000, tie: list[str] | None = None) -> DataFrame:
     """``df`` with ``out``: how many rows of the entity, up to and with this one, have ``flag``."""
-    ordering = [order, *(tie or [])]
-    keys = [*entity, BUCKET]
-    b = df.withColumn(BUCKET, bucket_of(order, width)).withColumn("_f", flag.cast("bigint"))
-    inner = b.withColumn(
-        "_in", F.sum("_f").over(Window.partitionBy(*keys).orderBy(*ordering).rowsBetween(Window.unboundedPreceding, 0))
-    )
-    base = b.groupBy(*keys).agg(F.sum("_f").alias("_t"))
-    base = base.withColumn(
-        "_base",
-        F.coalesce(
-            F.sum("_t").over(Window.partitionBy(*entity).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0),
-        ),
-    ).drop("_t")
-    return null_safe_join(inner, base, keys).select(*df.columns, (F.col("_base") + F.col("_in")).alias(out))
+    b = keyed(df, entity, order, width).withColumn("_f", flag.cast("bigint"))
+    by = Window.partitionBy(KEY, BUCKET).orderBy(order, *(tie or []))
+    inner = b.withColumn("_in", F.sum("_f").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    base = b.groupBy(KEY, BUCKET).agg(F.sum("_f").alias("_t")).select(KEY, BUCKET, _sum_before("_t").alias("_base"))
+    return inner.join(base, [KEY, BUCKET]).select(*df.columns, (F.col("_base") + F.col("_in")).alias(out))
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,23 +45,36 @@ def binned_shares(df: DataFrame, by: Sequence[str], bin: Column) -> DataFrame:
 
 
 def stats(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Count, mean, bounds and exact quantiles of the finite values of each group, whatever its size."""
     x = finite(F.col(value))
-    q = F.percentile(x, F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75, 0.9, 0.95)]))
-    g = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"), q.alias("_q"))
-    return g.select(*by, "n", "mean", "min", "max", *[F.col("_q")[i].alias(c) for i, c in enumerate(("q25", "median", "q75", "q90", "q95"))])
+    g = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"))
+    return with_quantiles(g, df, by, value, {"q25": 0.25, "median": 0.5, "q75": 0.75, "q90": 0.9, "q95": 0.95})
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probabilities: Sequence[float], cells: int = 128) -> DataFrame:
+def with_quantiles(groups: DataFrame, df: DataFrame, by: Sequence[str], value: str, names: dict[str, float]) -> DataFrame:
+    """``groups``, one row for each ``by``, with exact quantiles of ``df``'s values; null in a group without any."""
+    q = exact_quantiles(df, by, value, list(names.values()))
+    wide = q.groupBy(*by).agg(*[F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(c) for c, p in names.items()])
+    return null_safe_join(groups, wide, list(by), "left") if by else groups.join(F.broadcast(wide))
+
+
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probabilities: Sequence[float], cells: int = 128, salts: int = 16) -> DataFrame:
     """``by, p, quantile`` with linear interpolation, exact for groups of any size. An aggregate that holds a group's
     distinct values in one place does not scale to a group with a third of all rows; here a sketch cuts each group
     into cells, rows are counted by cell, and only the few cells that hold a wanted rank are ranked, by value counts.
-    The sketch only places the cells: the result does not depend on its error."""
+    The sketch only places the cells: the result does not depend on its error. Values are counted before they meet the
+    cuts, and a group's cuts are there ``salts`` times, so a group with a third of all values is joined in parts."""
     x = finite(F.col(value))
     d = df.select(*by, x.alias("_x")).where("_x is not null")
     cuts = d.groupBy(*by).agg(F.percentile_approx("_x", F.array(*[F.lit(i / cells) for i in range(1, cells)]), 100 * cells).alias("_cuts"))
     cell = F.size(F.filter("_cuts", lambda c: c < F.col("_x")))
-    placed = null_safe_join(d, F.broadcast(cuts) if not by else cuts, list(by)) if by else d.join(F.broadcast(cuts))
-    counted = placed.groupBy(*by, cell.alias("_cell"), "_x").agg(F.count(F.lit(1)).alias("_n"))
+    counts = d.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_n"))
+    if by:
+        salted = cuts.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+        placed = null_safe_join(counts.withColumn("_salt", F.pmod(F.xxhash64("_x"), F.lit(salts))), salted, [*by, "_salt"])
+    else:
+        placed = counts.join(F.broadcast(cuts))
+    counted = placed.select(*by, cell.alias("_cell"), "_x", "_n")
     size = counted.groupBy(*by, "_cell").agg(F.sum("_n").alias("_m"))
     w = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     size = size.select(*by, "_cell", "_m", F.coalesce(F.sum("_m").over(w), F.lit(0)).alias("_below"))
@@ -100,12 +115,14 @@ def nested_report(df: DataFrame, split: str, group: str, matched: Column, value:
         F.count(F.lit(1)).alias("n"),
         F.sum(v).alias("total"),
         F.avg(v).alias("mean"),
-        F.median(v).alias("median"),
         F.min(v).alias("min"),
         F.max(v).alias("max"),
         *[F.count_if(v < t).alias(f"below_{t}") for t in short_ms],
     ]
-    return scoped.groupingSets([[split, "scope", group], [split, "scope"]], split, "scope", group).agg(F.grouping(group).cast("int").alias("all_groups"), *agg)
+    report = scoped.groupingSets([[split, "scope", group], [split, "scope"]], split, "scope", group).agg(F.grouping(group).cast("int").alias("all_groups"), *agg)
+    each = scoped.select(split, "scope", group, F.explode(F.array(F.lit(0), F.lit(1))).alias("all_groups"), v.alias("_value"))
+    each = each.withColumn(group, F.when(F.col("all_groups") == 0, F.col(group)))
+    return with_quantiles(report, each, [split, "scope", group, "all_groups"], "_value", {"median": 0.5})
 
 
 def short_counts(df: DataFrame, by: Sequence[str], value: str, limits: Sequence[int]) -> DataFrame:
@@ -188,7 +205,9 @@ def issue_counts(issues: DataFrame, split: str = "split", issue: str = "issue")
 
 
 def item_features(df: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
-    """Mean, median and population deviation of every feature over an item's rows; NaN left out, null if all are."""
+    """Mean, median and population deviation of every feature over an item's rows; NaN left out, null if all are. The
+    median holds an item's distinct values in one place: items are bounded (the segments of a call), groups of any size
+    have :func:`exact_quantiles`."""
     out = []
     for f in features:
         x = F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double"))
@@ -197,8 +216,10 @@ def item_features(df: DataFrame, key: str, features: Sequence[str]) -> DataFrame
 
 
 def mean_vector(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """Element-wise mean of vectors, in double precision, one row an element: ``key, pos, mean``."""
-    return df.select(key, F.posexplode(vector).alias("pos", "x")).groupBy(key, "pos").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+    """Element-wise mean of vectors of one length, in double precision, one row an element: ``key, pos, mean``. Vectors
+    are summed as they are, not exploded; null vectors are left out."""
+    v = df.where(F.col(vector).isNotNull()).select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
+    return v.groupBy(key).agg(Summarizer.mean(F.col("_v")).alias("_m")).select(key, F.posexplode(vector_to_array("_m")).alias("pos", "mean"))
 
 
 def weighted_mean(df: DataFrame, by: Sequence[str], value: str, weight: str) -> DataFrame:
@@ -234,7 +255,10 @@ def class_weights(df: DataFrame, flags: Sequence[str], lo: float = 1.0, hi: floa
 
 
 def length_limits(df: DataFrame, length: Column, limit: int) -> DataFrame:
-    return df.agg(F.median(length).alias("median"), F.count_if(length > limit).alias("n_over"), F.avg((length > limit).cast("double")).alias("rate_over"))
+    d = df.select(length.alias("_length"))
+    over = F.col("_length") > limit
+    g = d.agg(F.count_if(over).alias("n_over"), F.avg(over.cast("double")).alias("rate_over"))
+    return with_quantiles(g, d, [], "_length", {"median": 0.5}).select("median", "n_over", "rate_over")
 
 
 def schema_stats(walked: DataFrame, examples: int = 5, shown: int = 30) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from callweave.functions import scalar
 from callweave.operators import intervals, stats, text
+from callweave.queries.intervals import SIDE_SQL, side
 from callweave.queries.pairing import ONE_LABEL, _labels, one_call
 from callweave.queries.registry import query, table
 
@@ -50,10 +51,10 @@ _EDGES = [0, 250, 500, 1000, 1500, 2000, 3000, 5000]
 _BIN = "CASE " + " ".join(f"WHEN ms >= {a} AND ms < {b} THEN '[{a},{b})'" for a, b in zip(_EDGES, _EDGES[1:])) + " WHEN ms >= 5000 THEN '[5000,inf)' END"
 
 
-@query("duration_bins", f"SELECT speaker, bin, n, round(n / sum(n) OVER (PARTITION BY speaker), 9) AS share FROM (SELECT speaker, {_BIN} AS bin, count(*) AS n FROM (SELECT speaker, {_MS} AS ms FROM utterances WHERE {_USABLE} AND speaker IN ('0', '1')) GROUP BY 1, 2)")
+@query("duration_bins", f"SELECT side, bin, n, round(n / sum(n) OVER (PARTITION BY side), 9) AS share FROM (SELECT side, {_BIN} AS bin, count(*) AS n FROM (SELECT {SIDE_SQL} AS side, {_MS} AS ms FROM utterances WHERE {_USABLE}) WHERE side <> 'unknown' GROUP BY 1, 2)")
 def duration_bins(spark, sf):
-    u = _usable(spark, sf).where("speaker in ('0', '1')")
-    return _rounded(stats.binned_shares(u, ["speaker"], scalar.bin_label(F.col("ms"), _EDGES)), ["share"], 9)
+    u = _usable(spark, sf).withColumn("side", side()).where("side <> 'unknown'")
+    return _rounded(stats.binned_shares(u, ["side"], scalar.bin_label(F.col("ms"), _EDGES)), ["share"], 9)
 
 
 @query("stats_by_group", f"SELECT speaker, count(ms) AS n, round(avg(ms), 6) AS mean, min(ms) AS min, max(ms) AS max, round(quantile_cont(ms, 0.25), 6) AS q25, round(median(ms), 6) AS median, round(quantile_cont(ms, 0.75), 6) AS q75, round(quantile_cont(ms, 0.9), 6) AS q90, round(quantile_cont(ms, 0.95), 6) AS q95 FROM (SELECT speaker, CAST({_MS} AS DOUBLE) AS ms FROM utterances WHERE {_USABLE}) GROUP BY speaker")
@@ -79,19 +80,19 @@ def quantiles_of_any_size(spark, sf):
 
 @query(
     "nested_report",
-    f"""WITH u AS (SELECT coalesce(c.partition, 'none') AS split, l.call_id IS NOT NULL AS m, u.speaker AS speaker, u.endAt - u.startAt AS ms FROM utterances u
+    f"""WITH u AS (SELECT coalesce(c.partition, 'none') AS split, l.call_id IS NOT NULL AS m, {SIDE_SQL} AS side, u.endAt - u.startAt AS ms FROM utterances u
   JOIN (SELECT DISTINCT ON (lower(trim(call_id))) lower(trim(call_id)) AS call_id, partition FROM calls ORDER BY lower(trim(call_id)), loaded_at) c USING (call_id)
-  LEFT JOIN (SELECT DISTINCT call_id FROM call_labels) l USING (call_id) WHERE {_USABLE} AND speaker IN ('0', '1')),
-s AS (SELECT split, 'all' AS scope, speaker, ms FROM u UNION ALL SELECT split, 'matched', speaker, ms FROM u WHERE m)
-SELECT split, scope, speaker, CAST(grouping(speaker) AS INTEGER) AS all_groups, count(*) AS n, CAST(sum(ms) AS BIGINT) AS total, round(avg(ms), 6) AS mean, median(ms) AS median, min(ms) AS min, max(ms) AS max,
-count(*) FILTER (ms < 500) AS below_500, count(*) FILTER (ms < 1000) AS below_1000 FROM s GROUP BY GROUPING SETS ((split, scope, speaker), (split, scope))""",
+  LEFT JOIN (SELECT DISTINCT call_id FROM call_labels) l USING (call_id) WHERE {_USABLE} AND {SIDE_SQL} <> 'unknown'),
+s AS (SELECT split, 'all' AS scope, side, ms FROM u UNION ALL SELECT split, 'matched', side, ms FROM u WHERE m)
+SELECT split, scope, side, CAST(grouping(side) AS INTEGER) AS all_groups, count(*) AS n, CAST(sum(ms) AS BIGINT) AS total, round(avg(ms), 6) AS mean, median(ms) AS median, min(ms) AS min, max(ms) AS max,
+count(*) FILTER (ms < 500) AS below_500, count(*) FILTER (ms < 1000) AS below_1000 FROM s GROUP BY GROUPING SETS ((split, scope, side), (split, scope))""",
 )
 def nested_report(spark, sf):
-    """Measures by partition, scope and speaker: one pass with grouping sets, not one query a cell."""
+    """Measures by partition, scope and side: one pass with grouping sets, not one query a cell."""
     c = one_call(spark, sf).select("call_id", F.coalesce("partition", F.lit("none")).alias("split"))
     lab = table(spark, sf, "call_labels").select("call_id").distinct().withColumn("_m", F.lit(True))
-    u = _usable(spark, sf).where("speaker in ('0', '1')").join(c, "call_id").join(lab, "call_id", "left")
-    return _rounded(stats.nested_report(u, "split", "speaker", F.col("_m").isNotNull(), "ms", [500, 1000]), ["mean"])
+    u = _usable(spark, sf).withColumn("side", side()).where("side <> 'unknown'").join(c, "call_id").join(lab, "call_id", "left")
+    return _rounded(stats.nested_report(u, "split", "side", F.col("_m").isNotNull(), "ms", [500, 1000]), ["mean"])
 
 
 @query("short_counts", f"SELECT call_id, count(*) FILTER (ms < 500) AS below_500, count(*) FILTER (ms < 1000) AS below_1000, count(*) FILTER (ms < 2000) AS below_2000 FROM (SELECT call_id, {_MS} AS ms FROM utterances WHERE {_USABLE}) GROUP BY call_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from callweave.functions import scalar, udfs
 from callweave.operators import checks, pairing, signals, stats, text
 from callweave.queries.pairing import ONE_LABEL, _labels
+from callweave.queries.intervals import SIDE_SQL, side
 from callweave.queries.registry import query, table
 
 
@@ -73,25 +74,25 @@ def id_list_hash(spark, sf):
     return table(spark, sf, "mission1_manifest").groupBy("gender").agg(scalar.list_hash(F.collect_list("call_id")).alias("h"))
 
 
-@query("column_whitelist", "SELECT call_id, id, startAt, endAt, speaker FROM utterances WHERE speaker IN ('0', '1')")
+@query("column_whitelist", "SELECT call_id, id, startAt, endAt, speaker FROM utterances WHERE " + SIDE_SQL + " <> 'unknown'")
 def column_whitelist(spark, sf):
     """Utterances for an acoustic task: the text can't leak, as it is not among the columns."""
-    return text.only_columns(table(spark, sf, "utterances").where("speaker in ('0', '1')"), ["call_id", "id", "startAt", "endAt", "speaker"])
+    return text.only_columns(table(spark, sf, "utterances").where(side() != "unknown"), ["call_id", "id", "startAt", "endAt", "speaker"])
 
 
-@query("sample_counts", "SELECT call_id, CAST(2 * sum(round_even(e / 1000.0::DOUBLE * 8000, 0) - round_even(s / 1000.0::DOUBLE * 8000, 0)) AS BIGINT) AS n FROM (SELECT DISTINCT call_id, id, startAt s, endAt e FROM utterances WHERE startAt >= 0 AND endAt > startAt AND speaker = '1') GROUP BY call_id")
+@query("sample_counts", "SELECT call_id, CAST(2 * sum(round_even(e / 1000.0::DOUBLE * 8000, 0) - round_even(s / 1000.0::DOUBLE * 8000, 0)) AS BIGINT) AS n FROM (SELECT DISTINCT call_id, id, startAt s, endAt e FROM utterances WHERE startAt >= 0 AND endAt > startAt AND " + SIDE_SQL + " = 'reporter') GROUP BY call_id")
 def sample_counts(spark, sf):
     """Samples that the reporter's segments give after resampling from 8 to 16 kHz."""
-    u = table(spark, sf, "utterances").where("startAt >= 0 and endAt > startAt and speaker = '1'").select("call_id", "id", "startAt", "endAt").distinct()
-    iv = F.collect_list(F.struct((F.col("startAt") / 1000).alias("s"), (F.col("endAt") / 1000).alias("e")))
-    return u.groupBy("call_id").agg(iv.alias("iv")).select("call_id", scalar.resampled_samples(F.col("iv")).alias("n"))
+    u = table(spark, sf, "utterances").where("startAt >= 0 and endAt > startAt").where(side() == "reporter").select("call_id", "id", "startAt", "endAt").distinct()
+    one = F.array(F.struct((F.col("startAt") / 1000).alias("s"), (F.col("endAt") / 1000).alias("e")))
+    return u.groupBy("call_id").agg(F.sum(scalar.resampled_samples(one)).alias("n"))
 
 
-@query("duplicate_texts_across", "SELECT DISTINCT a.text AS text FROM (SELECT text FROM utterances WHERE speaker = '0') a JOIN (SELECT text FROM utterances WHERE speaker = '1') b USING (text)")
+@query("duplicate_texts_across", "SELECT DISTINCT a.text AS text FROM (SELECT text FROM utterances WHERE " + SIDE_SQL + " = 'dispatcher') a JOIN (SELECT text FROM utterances WHERE " + SIDE_SQL + " = 'reporter') b USING (text)")
 def duplicate_texts_across(spark, sf):
     """Texts that both sides have said."""
     u = table(spark, sf, "utterances")
-    return pairing.shared_values(u.where("speaker = '0'"), u.where("speaker = '1'"), "text").where("text is not null")
+    return pairing.shared_values(u.where(side() == "dispatcher"), u.where(side() == "reporter"), "text").where("text is not null")
 
 
 @query("two_views")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from callweave.operators import checks, pairing
+from callweave.queries.intervals import SIDE_SQL, side
 from callweave.queries.registry import query, table
 
 _LAB = "SELECT call_id, max(_id) AS label_id FROM call_labels GROUP BY call_id"
@@ -64,10 +65,10 @@ def ordered_left_join(spark, sf):
 
 @query(
     "interval_jobs",
-    "SELECT m.call_id AS call_id, m.num_segments AS num_segments, u.n AS n_intervals, u.ms AS total_ms, u.first AS first_ms FROM mission1_manifest m JOIN (SELECT call_id, count(*) n, CAST(sum(e - s) AS BIGINT) ms, min(s) AS first FROM (SELECT DISTINCT call_id, id, startAt s, endAt e FROM utterances WHERE startAt >= 0 AND endAt > startAt AND speaker = '1') GROUP BY call_id) u USING (call_id)",
+    "SELECT m.call_id AS call_id, m.num_segments AS num_segments, u.n AS n_intervals, u.ms AS total_ms, u.first AS first_ms FROM mission1_manifest m JOIN (SELECT call_id, count(*) n, CAST(sum(e - s) AS BIGINT) ms, min(s) AS first FROM (SELECT DISTINCT call_id, id, startAt s, endAt e FROM utterances WHERE startAt >= 0 AND endAt > startAt AND " + SIDE_SQL + " = 'reporter') GROUP BY call_id) u USING (call_id)",
 )
 def interval_jobs(spark, sf):
-    u = table(spark, sf, "utterances").where("startAt >= 0 and endAt > startAt and speaker = '1'").select("call_id", "id", "startAt", "endAt").distinct()
+    u = table(spark, sf, "utterances").where("startAt >= 0 and endAt > startAt").where(side() == "reporter").select("call_id", "id", "startAt", "endAt").distinct()
     j = pairing.interval_jobs(table(spark, sf, "mission1_manifest").select("call_id", "num_segments"), u, "call_id", "startAt", "endAt")
     total = F.aggregate("intervals", F.lit(0).cast("bigint"), lambda a, x: a + x["e"] - x["s"])
     return j.select("call_id", "num_segments", F.size("intervals").cast("bigint").alias("n_intervals"), total.alias("total_ms"), F.col("intervals")[0]["s"].alias("first_ms"))
@@ -145,10 +146,10 @@ def reconcile_parent(spark, sf):
     return checks.reconcile(table(spark, sf, "orders"), li, "o_orderkey", [("o_totalprice", F.round(F.sum("l_extendedprice"), 2))], 200_000)
 
 
-@query("segment_count_gaps", "SELECT c.call_id AS call_id, c.n_segments AS n_segments, u.n AS n_utterances FROM (SELECT call_id, n_segments FROM (SELECT DISTINCT ON (call_id) call_id, n_segments FROM benchmark_calls ORDER BY call_id, n_segments)) c JOIN (SELECT call_id, count(DISTINCT id) n FROM utterances WHERE speaker = '1' GROUP BY 1) u USING (call_id) WHERE c.n_segments <> u.n")
+@query("segment_count_gaps", "SELECT c.call_id AS call_id, c.n_segments AS n_segments, u.n AS n_utterances FROM (SELECT call_id, n_segments FROM (SELECT DISTINCT ON (call_id) call_id, n_segments FROM benchmark_calls ORDER BY call_id, n_segments)) c JOIN (SELECT call_id, count(DISTINCT id) n FROM utterances WHERE " + SIDE_SQL + " = 'reporter' GROUP BY 1) u USING (call_id) WHERE c.n_segments <> u.n")
 def segment_count_gaps(spark, sf):
     b = table(spark, sf, "benchmark_calls").groupBy("call_id").agg(F.min("n_segments").alias("n_segments"))
-    u = table(spark, sf, "utterances").where("speaker = '1'").groupBy("call_id").agg(F.count_distinct("id").alias("n_utterances"))
+    u = table(spark, sf, "utterances").where(side() == "reporter").groupBy("call_id").agg(F.count_distinct("id").alias("n_utterances"))
     return b.join(u, "call_id").where("n_segments <> n_utterances")
 
 

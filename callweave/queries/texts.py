@@ -8,6 +8,7 @@ from callweave.functions import scalar, udfs
 from callweave.operators import intervals, signals, text
 from callweave.operators.sampling import balanced_parts
 from callweave.queries.pairing import ONE_LABEL, _labels
+from callweave.queries.intervals import SIDE_SQL, side
 from callweave.queries.registry import query, table
 
 _U = "(SELECT DISTINCT ON (id) call_id, id, startAt, endAt, text, speaker FROM utterances ORDER BY id, loaded_at)"
@@ -21,11 +22,11 @@ def once(spark, sf):
 
 @query(
     "flat_record",
-    f"SELECT call_id, l.gender AS gender, l.address LIKE '%서울%' AS is_region, round((l.endAt - 0) / 1000.0, 6) AS duration_sec, array_to_string(l.symptom, ';') AS symptoms, u.n AS num_utterances, u.n0 AS num_speaker_0, u.n1 AS num_speaker_1 FROM {ONE_LABEL} l LEFT JOIN (SELECT call_id, count(*) n, count(*) FILTER (speaker = '0') n0, count(*) FILTER (speaker = '1') n1 FROM {_U} GROUP BY 1) u USING (call_id)",
+    f"SELECT call_id, l.gender AS gender, l.address LIKE '%서울%' AS is_region, round((l.endAt - 0) / 1000.0, 6) AS duration_sec, array_to_string(l.symptom, ';') AS symptoms, u.n AS num_utterances, u.n0 AS num_speaker_0, u.n1 AS num_speaker_1 FROM {ONE_LABEL} l LEFT JOIN (SELECT call_id, count(*) n, count(*) FILTER ({SIDE_SQL} = 'dispatcher') n0, count(*) FILTER ({SIDE_SQL} = 'reporter') n1 FROM {_U} GROUP BY 1) u USING (call_id)",
 )
 def flat_record(spark, sf):
-    s = F.col("speaker")
-    u = once(spark, sf).groupBy("call_id").agg(F.count(F.lit(1)).alias("num_utterances"), F.count_if(s == "0").alias("num_speaker_0"), F.count_if(s == "1").alias("num_speaker_1"))
+    s = side()
+    u = once(spark, sf).groupBy("call_id").agg(F.count(F.lit(1)).alias("num_utterances"), F.count_if(s == "dispatcher").alias("num_speaker_0"), F.count_if(s == "reporter").alias("num_speaker_1"))
     lab = _labels(spark, sf).select("call_id", "gender", F.col("address").contains("서울").alias("is_region"), F.round(F.col("endAt") / 1000, 6).alias("duration_sec"), F.array_join("symptom", ";").alias("symptoms"))
     return lab.join(u, "call_id", "left")
 
@@ -59,7 +60,7 @@ def region_pairs(spark, sf):
     return _labels(spark, sf).where(text.in_region(F.col("address"))).select("call_id").join(h, "call_id")
 
 
-_REASON = "CASE WHEN startAt IS NULL OR endAt IS NULL THEN 'missing' WHEN startAt < 0 THEN 'negative' WHEN endAt <= startAt THEN 'reversed' WHEN speaker IS NULL OR speaker NOT IN ('0', '1') THEN 'speaker' END"
+_REASON = f"CASE WHEN startAt IS NULL OR endAt IS NULL THEN 'missing' WHEN startAt < 0 THEN 'negative' WHEN endAt <= startAt THEN 'reversed' WHEN {SIDE_SQL} = 'unknown' THEN 'speaker' END"
 
 
 def _reasons(spark, sf):
@@ -68,7 +69,7 @@ def _reasons(spark, sf):
         missing=F.col("startAt").isNull() | F.col("endAt").isNull(),
         negative=F.col("startAt") < 0,
         reversed=F.col("endAt") <= F.col("startAt"),
-        speaker=F.col("speaker").isNull() | ~F.col("speaker").isin("0", "1"),
+        speaker=side() == "unknown",
     )
 
 
@@ -101,25 +102,25 @@ def drift_flag(spark, sf):
     return _labels(spark, sf).join(_wav(spark, sf), "call_id").select("call_id", d.alias("drift_s"), (F.abs(d) > 0.02).alias("flagged"))
 
 
-_SP = "(SELECT DISTINCT call_id, startAt AS s, endAt AS e FROM utterances WHERE startAt >= 0 AND endAt > startAt AND speaker = '{}')"
+_SP = f"(SELECT DISTINCT call_id, startAt AS s, endAt AS e FROM utterances WHERE startAt >= 0 AND endAt > startAt AND {SIDE_SQL} = '{{}}')"
 _ISL = "(SELECT call_id, min(s) AS s, max(e) AS e FROM (SELECT *, sum(CASE WHEN pe IS NULL OR s > pe THEN 1 ELSE 0 END) OVER (PARTITION BY call_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT *, max(e) OVER (PARTITION BY call_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM {})) GROUP BY call_id, k)"
 
 
-def _merged(spark, sf, speaker):
-    u = table(spark, sf, "utterances").where((F.col("speaker") == speaker))
+def _merged(spark, sf, of):
+    u = table(spark, sf, "utterances").where(side() == of)
     return intervals.periods(u, ["call_id"]).select("call_id", F.col("period_start").alias("start_ms"), F.col("period_end").alias("end_ms"))
 
 
-@query("interval_union", f"SELECT call_id, count(*) AS n, CAST(sum(e - s) AS BIGINT) AS union_ms FROM {_ISL.format(_SP.format('1'))} GROUP BY call_id")
+@query("interval_union", f"SELECT call_id, count(*) AS n, CAST(sum(e - s) AS BIGINT) AS union_ms FROM {_ISL.format(_SP.format('reporter'))} GROUP BY call_id")
 def interval_union(spark, sf):
-    return _merged(spark, sf, "1").groupBy("call_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("union_ms"))
+    return _merged(spark, sf, "reporter").groupBy("call_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("union_ms"))
 
 
-@query("interval_overlap", f"SELECT a.call_id AS call_id, CAST(sum(least(a.e, b.e) - greatest(a.s, b.s)) AS BIGINT) AS overlap_ms FROM {_ISL.format(_SP.format('1'))} a JOIN {_ISL.format(_SP.format('0'))} b ON a.call_id = b.call_id AND a.s < b.e AND b.s < a.e GROUP BY a.call_id")
+@query("interval_overlap", f"SELECT a.call_id AS call_id, CAST(sum(least(a.e, b.e) - greatest(a.s, b.s)) AS BIGINT) AS overlap_ms FROM {_ISL.format(_SP.format('reporter'))} a JOIN {_ISL.format(_SP.format('dispatcher'))} b ON a.call_id = b.call_id AND a.s < b.e AND b.s < a.e GROUP BY a.call_id")
 def interval_overlap(spark, sf):
     """Time in which both sides speak, after each side's intervals are merged. The join is bucketed by minute, so a
     call of any length is spread."""
-    return intervals.bucketed_overlap(_merged(spark, sf, "1"), _merged(spark, sf, "0"), ["call_id"])
+    return intervals.bucketed_overlap(_merged(spark, sf, "reporter"), _merged(spark, sf, "dispatcher"), ["call_id"])
 
 
 @query("whitespace_norm", "SELECT id, trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g'), ' ') AS clean FROM " + _U + " WHERE text IS NOT NULL")
@@ -197,10 +198,10 @@ def first_items(spark, sf):
     return table(spark, sf, "documents").where("text is not null").select("doc_id", F.sha2(F.array_join(scalar.first_items(F.split("text", " "), 20), " "), 256).alias("h"))
 
 
-@query("speaker_texts", f"SELECT call_id, sha256(string_agg(text, ' ' ORDER BY startAt, id)) AS h, count(*) AS n FROM {_U} WHERE speaker = '1' AND text <> '' AND startAt IS NOT NULL GROUP BY call_id")
+@query("speaker_texts", f"SELECT call_id, sha256(string_agg(text, ' ' ORDER BY startAt, id)) AS h, count(*) AS n FROM {_U} WHERE {SIDE_SQL} = 'reporter' AND text <> '' AND startAt IS NOT NULL GROUP BY call_id")
 def speaker_texts(spark, sf):
     """The texts of one speaker that are not empty, in order."""
-    u = once(spark, sf).where("startAt is not null").withColumn("sp", (F.col("speaker") == "1").cast("int"))
+    u = once(spark, sf).where("startAt is not null").withColumn("sp", (side() == "reporter").cast("int"))
     nested = u.groupBy("call_id").agg(F.array_sort(F.collect_list(F.struct("startAt", "id", "text", F.col("sp").alias("speaker")))).alias("utterances"))
     t = text.spoken_texts(F.col("utterances"), 1)
     return nested.select("call_id", F.sha2(F.array_join(t, " "), 256).alias("h"), F.size(t).cast("bigint").alias("n")).where("n > 0")
@@ -289,10 +290,10 @@ def document_tfidf(spark, sf):
     return t.select("doc_id", "term", F.round("weight", 7).alias("weight"))
 
 
-@query("sum_and_union", f"SELECT call_id, a.ms AS sum_ms, b.ms AS union_ms FROM (SELECT call_id, CAST(sum(e - s) AS BIGINT) AS ms FROM {_SP.format('1')} GROUP BY 1) a JOIN (SELECT call_id, CAST(sum(e - s) AS BIGINT) AS ms FROM {_ISL.format(_SP.format('1'))} GROUP BY 1) b USING (call_id)")
+@query("sum_and_union", f"SELECT call_id, a.ms AS sum_ms, b.ms AS union_ms FROM (SELECT call_id, CAST(sum(e - s) AS BIGINT) AS ms FROM {_SP.format('reporter')} GROUP BY 1) a JOIN (SELECT call_id, CAST(sum(e - s) AS BIGINT) AS ms FROM {_ISL.format(_SP.format('reporter'))} GROUP BY 1) b USING (call_id)")
 def sum_and_union(spark, sf):
     """Two measures side by side: the sum of the reporter's segments and the length of their union."""
-    u = table(spark, sf, "utterances").where("speaker = '1'").where(intervals.usable()).select("call_id", "startAt", "endAt").distinct()
+    u = table(spark, sf, "utterances").where(side() == "reporter").where(intervals.usable()).select("call_id", "startAt", "endAt").distinct()
     total = u.groupBy("call_id").agg(F.sum(F.col("endAt") - F.col("startAt")).alias("sum_ms"))
     return total.join(interval_union(spark, sf).select("call_id", "union_ms"), "call_id")
 

@@ -30,8 +30,8 @@ def test_fixture_values(spark, rows):
     a = spark.createDataFrame([("c", 0, 3)], "k string, start_ms bigint, end_ms bigint")
     b = spark.createDataFrame([("c", 2, 4)], a.schema)
     c = spark.createDataFrame([("c", 3, 4)], a.schema)
-    assert rows(iv.overlap(a, b, ["k"])) == [("c", 1)]
-    assert iv.overlap(a, c, ["k"]).count() == 0
+    assert rows(iv.bucketed_overlap(a, b, ["k"])) == [("c", 1)]
+    assert iv.bucketed_overlap(a, c, ["k"]).count() == 0
     assert rows(iv.bucketed_overlap(a, b, ["k"], width=1)) == [("c", 1)]
 
 
@@ -57,6 +57,14 @@ def test_one_entity_over_many_buckets_matches_brute_force(spark, rows):
     assert iv.gaps(d, ["call_id"], width=100, min_gap=20).count() == sum(b[0] - a[1] >= 20 for a, b in zip(want, want[1:]))
 
 
+def test_periods_are_numbered_and_ends_come_from_later_buckets(spark, rows):
+    """A long span covers empty buckets; the hot entity has a period in every other one; a null entity is one of its own."""
+    d = spark.createDataFrame([("h", 200 * i, 200 * i + 60, 1, "") for i in range(30)] + [("l", 0, 5000, 1, ""), ("l", 10, 20, 1, ""), ("l", 4900, 4950, 1, ""), ("l", 9000, 9001, 1, ""), (None, 5, 6, 1, ""), (None, 500, 501, 1, "")], U)
+    got = rows(iv.periods(d, ["call_id"], width=100))
+    want = [(None, 1, 5, 6), (None, 2, 500, 501), ("l", 1, 0, 5000), ("l", 2, 9000, 9001)] + [("h", i + 1, 200 * i, 200 * i + 60) for i in range(30)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 60), st.integers(1, 15)), min_size=1, max_size=25), st.integers(1, 30))
 def test_periods_property(spark, raw, width):
