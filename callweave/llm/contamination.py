@@ -2,9 +2,9 @@
 
 Texts are reduced to their letters and digits (NFKC, case folded), so layout, spacing, case, punctuation, markup and
 character form do not matter. Documents are gathered into shards of some million characters. For each shard a suffix
-array is built, in the order of the first ``seed`` characters, over the suffixes that can match at all (each of the
-four quarters of the seed occurs somewhere in the test texts); every test suffix is looked up in it by binary search,
-and each location found is extended to the longest verbatim match. Matches of at least ``seed`` characters whose sum
+array is built, in the order of the first ``seed`` characters and the one before, over the suffixes that can match at
+all (each of the four quarters of the seed occurs somewhere in the test texts); every test suffix is looked up in it by
+binary search, and each location found at which a match starts is extended to the longest verbatim match. Matches of at least ``seed`` characters whose sum
 is too small for a case are dropped; for the rest an exact check chains all common runs of ``fine`` characters, in
 order in both texts and with gaps of at most ``gap`` characters in either, which bridges marks, labels, typing errors
 and changed words, but not other text. A document is a case if one chain covers ``share`` of the item.
@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callweave.session import durable
+
 FOUND = "doc bigint, item bigint, coverage double, longest int, at bigint"
 _MARKS = re.compile(r"[\W_]+")
 _TAG = re.compile(r"<[a-zA-Z/!][^<>]*>")
@@ -39,6 +41,8 @@ BITS = 12  # a character id; five fill a key
 BLOCK_CHARS = 8 << 20
 SHARD_CHARS = 3 << 20
 BAND = 256
+PAIRS = 4 << 20
+_PREPARED: dict[int, tuple] = {}
 
 
 def bare(text: str) -> str:
@@ -100,21 +104,40 @@ class TestSet:
         self.seen[_slot(k[at])] = True
         at = np.concatenate([s + np.arange(n - 4 * step + 1) for s, n in zip(self.start, lengths)])
         rows = np.stack([k[at + j * step] for j in range(4)], axis=1)
-        order = np.lexsort(rows.T[::-1])
-        rows, self.suffixes = rows[order], at[order]
+        before = self.text[at - 1]  # index -1 is the closing separator
+        order = np.lexsort([before, *rows.T[::-1]])
+        rows, self.suffixes, before = rows[order], at[order], before[order]
         new = np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])
         self.prefixes = rows[new]  # distinct, in order
-        self.lo = np.flatnonzero(new)
+        # suffixes of one prefix and one character before it lie together
+        part = new | np.concatenate([[True], before[1:] != before[:-1]])
+        self.lo = np.flatnonzero(part)
         self.hi = np.concatenate([self.lo[1:], [len(rows)]])
+        self.before = before[self.lo]
+        self.prefix_of = np.cumsum(new)[self.lo] - 1
         self.item_of = np.repeat(np.arange(len(items)), lengths + 1)
-        self.fine: dict[int, dict[str, list[int]]] = {}
+        self.fine: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
-    def grams(self, n: int, fine: int) -> dict[str, list[int]]:
+    def rolls(self, n: int, fine: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct hashes of an item's runs of ``fine`` characters, in order; their bounds in the places; the places."""
         if n not in self.fine:
-            self.fine[n] = _grams(self.texts[n], fine)
+            h = rolling(self.text[self.start[n] : self.start[n] + self.lengths[n]], fine)
+            at = np.argsort(h, kind="stable")
+            u, first = np.unique(h[at], return_index=True)
+            self.fine[n] = u, np.append(first, len(h)), at
         return self.fine[n]
 
 
+def rolling(points: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the ``n`` characters from each position on."""
+    size = max(len(points) - n + 1, 0)
+    h = np.zeros(size, dtype=np.uint64)
+    for j in range(n):
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += points[j : j + size]
+    return h
+
+
 def _grams(text: str, n: int) -> dict[str, list[int]]:
     g: dict[str, list[int]] = {}
     for q in range(len(text) - n + 1):
@@ -158,14 +181,15 @@ class ShortItems:
         return out
 
 
-def suffix_array(k: np.ndarray, seen: np.ndarray, step: int) -> np.ndarray:
-    """Positions in the order of their first ``4 * step`` characters; those that can match no test text left out."""
+def suffix_array(k: np.ndarray, seen: np.ndarray, step: int, before: np.ndarray) -> np.ndarray:
+    """Positions in the order of their first ``4 * step`` characters and then of the one before; those that can match no
+    test text left out."""
     can = seen[_slot(k)]
     n = len(k) - 3 * step
     if n <= 0:
         return np.zeros(0, dtype=np.int64)
     at = np.flatnonzero(can[:n] & can[step : n + step] & can[2 * step : n + 2 * step] & can[3 * step :])
-    return at[np.lexsort([k[at + j * step] for j in (3, 2, 1, 0)])]
+    return at[np.lexsort([before[at], *[k[at + j * step] for j in (3, 2, 1, 0)]])]
 
 
 def lower_bound(k: np.ndarray, sa: np.ndarray, queries: np.ndarray, step: int, strict: bool) -> np.ndarray:
@@ -188,37 +212,84 @@ def lower_bound(k: np.ndarray, sa: np.ndarray, queries: np.ndarray, step: int, s
     return lo
 
 
+def _within(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, wanted: np.ndarray, strict: bool) -> np.ndarray:
+    """In each range [lo, hi) of ``values``, sorted there, the first index whose value is not below ``wanted``, or, with
+    ``strict``, above it."""
+    lo, hi = lo.copy(), hi.copy()
+    while (open_ := lo < hi).any():
+        mid = (lo + hi) >> 1
+        v = values[np.minimum(mid, len(values) - 1)]
+        up = v <= wanted if strict else v < wanted
+        lo = np.where(open_ & up, mid + 1, lo)
+        hi = np.where(open_ & ~up, mid, hi)
+    return lo
+
+
 def longest_matches(text: np.ndarray, tests: TestSet) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Every verbatim match of at least ``4 * step`` characters that can be extended to neither side: its place in the
-    shard, its place in the test text, its length."""
+    shard, its place in the test text, its length. A match starts where the characters before differ, so only suffixes
+    of different ones are paired, however often a text repeats itself; they are extended in parts of bounded size."""
     step = tests.step
     k = _keys(tests.table[text].astype(np.int64), step)
-    sa = suffix_array(k, tests.seen, step)
+    before = np.concatenate([[0], text[:-1]]).astype(np.uint32)
+    sa = suffix_array(k, tests.seen, step, before)
     none = np.zeros(0, dtype=np.int64)
     if not len(sa):
         return none, none, none
     lo, hi = (lower_bound(k, sa, tests.prefixes, step, s) for s in (False, True))
-    hit = np.flatnonzero(hi > lo)
-    which, row = _spans(lo[hit], hi[hit])  # all shard suffixes under each prefix
-    prefix = hit[which]
-    each, suffix = _spans(tests.lo[prefix], tests.hi[prefix])  # times all test suffixes under it
+    part = np.flatnonzero((hi > lo)[tests.prefix_of])
+    lo, hi, mark = lo[tests.prefix_of[part]], hi[tests.prefix_of[part]], tests.before[part]
+    # all that lies under the prefix but what the same character precedes; at the start of a text nothing does
+    a, b = (_within(before[sa], lo, hi, mark, s) for s in (False, True))
+    a, b = np.where(mark == 0, hi, a), np.where(mark == 0, hi, b)
+    ranges = np.concatenate([np.stack([lo, a, tests.lo[part], tests.hi[part]], axis=1), np.stack([b, hi, tests.lo[part], tests.hi[part]], axis=1)])
+    ranges = ranges[ranges[:, 1] > ranges[:, 0]]
+    while (large := (ranges[:, 1] - ranges[:, 0] > 1) & ((ranges[:, 1] - ranges[:, 0]) * (ranges[:, 3] - ranges[:, 2]) > PAIRS)).any():
+        left, right = ranges[large].copy(), ranges[large].copy()
+        left[:, 1] = right[:, 0] = (left[:, 0] + left[:, 1]) >> 1
+        ranges = np.concatenate([ranges[~large], left, right])
+    if not len(ranges):
+        return none, none, none
+    size = (ranges[:, 1] - ranges[:, 0]) * (ranges[:, 3] - ranges[:, 2])
+    cut = np.flatnonzero(np.diff(np.cumsum(size) // PAIRS)) + 1
+    found = [_extended(text, tests, sa, r) for r in np.split(ranges, cut)]
+    p, q, n = (np.concatenate(x) for x in zip(*found))
+    return p, q, n
+
+
+def _extended(text: np.ndarray, tests: TestSet, sa: np.ndarray, ranges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The matches of all pairs in the ranges (of the suffix array; of the test suffixes)."""
+    which, row = _spans(ranges[:, 0], ranges[:, 1])
+    each, suffix = _spans(ranges[which, 2], ranges[which, 3])
     p, q = sa[row][each], tests.suffixes[suffix]
-    before_p, before_q = text[p - 1], tests.text[q - 1]  # index -1 is the closing separator
-    first = (before_p != before_q) | (before_p == 0)
-    p, q = p[first], q[first]
     n = np.zeros(len(p), dtype=np.int64)
     live = np.arange(len(p))
     while len(live):
         a, b = text[p[live] + n[live]], tests.text[q[live] + n[live]]
         live = live[(a == b) & (a != 0)]
         n[live] += 1
-    real = n >= 4 * step  # ids may stand for several characters where a block has more than fit
+    real = n >= 4 * tests.step  # ids may stand for several characters where a block has more than fit
     return p[real], q[real], n[real]
 
 
-def chained(grams: dict[str, list[int]], region: str, fine: int, gap: int) -> tuple[int, int]:
-    """The most characters of the item that one chain of common runs covers, and where in the region it begins."""
-    return best_chain(common_runs(grams, region, fine), gap)
+def hashed_runs(item: np.ndarray, rolls: tuple[np.ndarray, np.ndarray, np.ndarray], region: np.ndarray, hashes: np.ndarray, fine: int) -> list[list[int]]:
+    """As :func:`common_runs`, from hashes of runs; what hashes alike is compared, so the result is exact."""
+    distinct, bounds, places = rolls
+    i = np.minimum(np.searchsorted(distinct, hashes), len(distinct) - 1)
+    at = np.flatnonzero(distinct[i] == hashes)
+    which, k = _spans(bounds[i[at]], bounds[i[at] + 1])
+    p, q = at[which], places[k]
+    same = np.ones(len(p), dtype=bool)
+    for j in range(fine):
+        same &= region[p + j] == item[q + j]
+    p, q = p[same], q[same]
+    order = np.lexsort([p, p - q])
+    p, q = p[order], q[order]
+    first = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1] + 1) | (q[1:] != q[:-1] + 1)])) if len(p) else p
+    n = np.diff(np.concatenate([first, [len(p)]])) + fine - 1
+    p, q = p[first], q[first]
+    order = np.lexsort([q, p])
+    return np.stack([p[order], q[order], n[order]], axis=1).tolist()
 
 
 def common_runs(grams: dict[str, list[int]], region: str, fine: int) -> list[list[int]]:
@@ -289,7 +360,7 @@ def search_shard(docs: list[tuple[int, str, int]], tests: TestSet, share: float,
     held = np.maximum(*(_in_band(pair, (p - q + o) // BAND, n, edge) for o in (0, BAND // 2)))
     most = np.maximum.reduceat(n, edge)
     ends = np.concatenate([edge[1:], [len(pair)]])
-    out = []
+    out, hashes = [], None
     # one stretch lies in one band of diagonals, shifted only by what stands between its lines, so this drops no case
     # whose runs of a seed make half its share there
     for e in np.flatnonzero(held >= share / 2 * tests.lengths[pair[edge] % len(tests.ids)]):
@@ -300,12 +371,14 @@ def search_shard(docs: list[tuple[int, str, int]], tests: TestSet, share: float,
         seeds = [list(r) for r in zip(own.tolist(), (q[runs] - tests.start[i]).tolist(), n[runs].tolist())]
         if best_chain(seeds, 4 * gap)[0] < share / 2 * size:
             continue
-        grams = tests.grams(i, fine)
+        if hashes is None:
+            hashes = rolling(text, fine)
+        base, item = starts[d], tests.text[tests.start[i] : tests.start[i] + size]
         got, at = 0, 0
         # regions around the matches; far apart ones are looked at on their own
         for part in np.split(own, np.flatnonzero(np.diff(own) > 2 * size + gap) + 1):
             a, b = max(0, int(part[0]) - size), min(len(body), int(part[-1]) + 2 * size)
-            c, w = chained(grams, body[a:b], fine, gap)
+            c, w = best_chain(hashed_runs(item, tests.rolls(i, fine), text[base + a : base + b], hashes[base + a : max(base + a, base + b - fine + 1)], fine), gap)
             if c > got:
                 got, at = c, a + w
         if got >= share * size:
@@ -313,7 +386,7 @@ def search_shard(docs: list[tuple[int, str, int]], tests: TestSet, share: float,
     return out
 
 
-def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, share: float = 0.37, seed: int = 20, fine: int = 8, gap: int = 40) -> DataFrame:
+def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, share: float = 0.37, seed: int = 12, fine: int = 8, gap: int = 40) -> DataFrame:
     """``doc, item, coverage, longest, at`` for every document that holds ``share`` of an item as one stretch. The
     share is measured in verbatim runs of ``fine`` characters, so half an item with changes shows as less than half."""
     if seed % 4:
@@ -323,24 +396,39 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
     total = tests.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = total // BLOCK_CHARS + 1
     corpus = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("d"), F.col(text).alias("t"))
+    if blocks > 1:  # the corpus is read once a block: reduced once
+        corpus = durable(corpus.mapInPandas(_reduced, "d bigint, t string"), "bare")
     out = None
     for b in range(blocks):
         block = tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)
         rows = [(r["i"], r["t"]) for r in block.collect()]
         rows = [(i, t) for i, t in rows if bare(t)]
         if rows:
-            found = corpus.mapInPandas(_searcher(spark.sparkContext.broadcast(rows), seed // 4, share, fine, gap), FOUND)
+            found = corpus.mapInPandas(_searcher(spark.sparkContext.broadcast(rows), seed // 4, share, fine, gap, blocks == 1), FOUND)
             out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], FOUND) if out is None else out
 
 
-def _searcher(shared, step: int, share: float, fine: int, gap: int):
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame({"d": b["d"], "t": [bare(t) for t in b["t"]]})
+
+
+def prepared(items: list[tuple[int, str]], step: int, fine: int) -> tuple[ShortItems | None, TestSet | None]:
+    """The test texts made ready, once a worker and broadcast."""
+    got = _PREPARED.get(id(items))
+    if got is None or got[0] is not items or got[1] != (step, fine):
         short, long = [], []
-        for i, t in shared.value:
+        for i, t in items:
             (short if len(bare(t)) < 8 * step else long).append((i, t))
-        brief = ShortItems(short, fine) if short else None
-        tests = TestSet(long, step) if long else None
+        _PREPARED.clear()
+        got = _PREPARED[id(items)] = (items, (step, fine), ShortItems(short, fine) if short else None, TestSet(long, step) if long else None)
+    return got[2], got[3]
+
+
+def _searcher(shared, step: int, share: float, fine: int, gap: int, raw: bool):
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        brief, tests = prepared(shared.value, step, fine)
         names = [c.split()[0] for c in FOUND.split(", ")]
         overlap = 4 * int(tests.lengths.max()) + gap if tests else 0
         window = max(1 << 20, 4 * overlap)
@@ -348,7 +436,7 @@ def _searcher(shared, step: int, share: float, fine: int, gap: int):
         frame = lambda rows: pd.DataFrame(rows, columns=names)
         for batch in batches:
             for d, t in zip(batch["d"], batch["t"]):
-                t = bare(t)
+                t = bare(t) if raw else t
                 if brief and (found := brief.search(int(d), t, share, gap)):
                     yield frame(found)
                 if tests is None or len(t) < 4 * step:

@@ -44,8 +44,9 @@ def test_longest_matches_equal_brute_force():
 def test_suffix_array_is_in_order():
     text = ct._points("".join(random.Random(1).choice("ab") for _ in range(300)) + "\0")
     k = ct._keys(text.astype(np.int64), 2)
-    sa = ct.suffix_array(k, np.ones(1 << 22, dtype=bool), 2)
-    s = [bytes(text[i : i + 8].astype(np.uint8)) for i in sa]
+    before = np.concatenate([[0], text[:-1]]).astype(np.uint32)
+    sa = ct.suffix_array(k, np.ones(1 << 22, dtype=bool), 2, before)
+    s = [(bytes(text[i : i + 8].astype(np.uint8)), int(before[i])) for i in sa]
     assert s == sorted(s) and len(sa) == len(text) - 7
 
 
@@ -88,6 +89,45 @@ def test_altered_and_partial_passages(spark, rows):
     assert run(spark, rows, docs) == [(1, 7), (11, 7), (12, 7), (2, 7), (3, 7), (4, 7)]
 
 
+def test_dense_errors(spark, rows):
+    """A whole item with a letter changed every 15, 19 or 25."""
+    text = "".join(ITEM)
+    docs = []
+    for every in (15, 19, 25):
+        letters = list(text)
+        for i in range(every - 1, len(letters), every):
+            letters[i] = "힣"
+        docs.append((every, " ".join(passage(30)) + "".join(letters) + " ".join(passage(30))))
+    assert run(spark, rows, docs) == [(15, 7), (19, 7), (25, 7)]
+
+
+def test_a_text_that_repeats_itself_gives_few_pairs(monkeypatch):
+    monkeypatch.setattr(ct, "PAIRS", 5_000)
+    tests = ct.TestSet([(1, "가" * 200), (2, "가나" * 80)], 3)
+    sizes, whole = [], ct._extended
+    monkeypatch.setattr(ct, "_extended", lambda text, t, sa, r: (sizes.append(int(((r[:, 1] - r[:, 0]) * (r[:, 3] - r[:, 2])).sum())), whole(text, t, sa, r))[1])
+    p, q, n = ct.longest_matches(ct._points("가" * 20_000 + "\0" + "가나" * 3_000 + "\0"), tests)
+    assert sum(sizes) < 60_000 and max(sizes) <= 10_000 and n.max() == 200
+    assert {(int(a), int(b)) for a, b in zip(p, q)} >= {(0, 0), (19_800, 0), (0, 100)}
+
+
+def test_hashed_runs_equal_those_of_a_table():
+    r = random.Random(4)
+    for _ in range(30):
+        item = "".join(r.choice("abc") for _ in range(60))
+        text = "".join(r.choice("abc") for _ in range(40)) + item[7:33] + "z" + item[30:50]
+        tests = ct.TestSet([(1, item)], 2)
+        points = ct._points(text)
+        got = ct.hashed_runs(ct._points(item), tests.rolls(0, 5), points, ct.rolling(points, 5), 5)
+        assert got == ct.common_runs(ct._grams(item, 5), text, 5)
+
+
+def test_the_test_set_is_made_ready_once():
+    items = [(1, "".join(ITEM)), (2, "짧은 글")]
+    a, b = ct.prepared(items, 3, 8), ct.prepared(items, 3, 8)
+    assert a[0] is b[0] and a[1] is b[1] and ct.prepared(list(items), 3, 8)[1] is not a[1]
+
+
 def test_empty_sides_and_repeats(spark, rows):
     assert run(spark, rows, [(1, " ".join(ITEM)), (1, " ".join(ITEM))]) == [(1, 7), (1, 7)]
     assert run(spark, rows, [(1, "x")], [(None, "a", "b"), (2, None, "b"), (3, " ", "c")]) == []
