@@ -41,6 +41,7 @@ BITS = 12  # a character id; five fill a key
 BLOCK_CHARS = 8 << 20
 SHARD_CHARS = 3 << 20
 BAND = 256
+LOOSE = 0.65  # of the share, that runs of a seed have to cover before the exact check
 PAIRS = 4 << 20
 _PREPARED: dict[int, tuple] = {}
 
@@ -362,14 +363,14 @@ def search_shard(docs: list[tuple[int, str, int]], tests: TestSet, share: float,
     ends = np.concatenate([edge[1:], [len(pair)]])
     out, hashes = [], None
     # one stretch lies in one band of diagonals, shifted only by what stands between its lines, so this drops no case
-    # whose runs of a seed make half its share there
-    for e in np.flatnonzero(held >= share / 2 * tests.lengths[pair[edge] % len(tests.ids)]):
+    # whose runs of a seed make ``LOOSE`` of its share there
+    for e in np.flatnonzero(held >= LOOSE * share * tests.lengths[pair[edge] % len(tests.ids)]):
         d, i = divmod(int(pair[edge[e]]), len(tests.ids))
         runs = slice(edge[e], ends[e])
         own = p[runs] - starts[d]
         size, body = int(tests.lengths[i]), docs[d][1]
         seeds = [list(r) for r in zip(own.tolist(), (q[runs] - tests.start[i]).tolist(), n[runs].tolist())]
-        if best_chain(seeds, 4 * gap)[0] < share / 2 * size:
+        if best_chain(seeds, 4 * gap)[0] < LOOSE * share * size:
             continue
         if hashes is None:
             hashes = rolling(text, fine)
