@@ -37,7 +37,7 @@ def p7_kept(spark, sf):
 
 
 def subject_rows(spark, sf):
-    names = [r[0] for r in table(spark, sf, "subjects").select("subject").distinct().orderBy("subject").limit(1000).collect()]
+    names = subjects.closed_set(table(spark, sf, "subjects"), "subject")
     docs = spread(table(spark, sf, "documents").select("doc_id", "text"), narrow=0.5)
     bag, model = subjects.topic_model(docs, "doc_id", "text", table(spark, sf, "subject_labels"), names)
     return subjects.assign(bag, model) if model else spark.createDataFrame([], "doc bigint, subject string, share double")

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.session import durable
+from callweave.session import durable, shared_dir
 
 BITS = 16  # of the vocabulary; its lower half is Hangul, its upper half Latin
 BLOCK = 1 << 11
@@ -45,9 +45,7 @@ _ENDS = r"[.!?。]+(?!\d)|[\n\r\u2028\u2029]+"
 _SPLIT = re.compile(_ENDS)
 _SPLIT_MARKUP = re.compile(_ENDS + r"|<(?:br|/?p|/?li|/?div|/?h\d)\b[^<>]*>", re.I)
 _PREDICATE = re.compile(rf"(?<=[{_CLOSED}]다)\s+")
-# fixed values: words that, capitalised, begin an English sentence where its layout lost the marks
-_OPENERS = "The A An In On At By Of To For From With We He She It They You This That These Those Then Later Meanwhile However Once When While After Before During Around About Late Early Shortly Nobody Somebody More Much Most As According And But So If There Here His Her Our Their No All Some Many".split()
-_OPENING = re.compile(rf"(?<!\s)\s+(?=(?:{'|'.join(_OPENERS)})\b)")
+_CAPITAL = re.compile(r"(?<!\s)\s+(?=([A-Z][a-z]*)\b)")
 _TAG = re.compile(r"<[^<>]*>")
 _LATIN, _HANGUL = re.compile(r"[a-z]{2,}"), re.compile(r"[가-힣]+")
 _HEADING = re.compile(r"^\W*(?:\w+\s+){1,3}\d+\W*$")
@@ -65,8 +63,29 @@ def unwrapped(text: str) -> str:
     return "".join(x if len(x) == width else x + "\n" for x in lines)
 
 
-def sentences(text: str) -> list[str]:
-    """The sentences of a text, folded; headings and markup left out."""
+def mine_openers(docs: DataFrame, text: str, support: float = 0.0002, least: int = 5, share: float = 0.2) -> frozenset[str]:
+    """Words that, capitalised, begin a sentence even where its layout lost the marks: those that stand after an end mark
+    in at least ``share`` of all places where they are capitalised, which names inside sentences do not. One count over
+    all texts; words with less than ``support`` of all such beginnings are left out, so at most ``1 / support`` arrive."""
+    found = F.regexp_extract_all(F.col(text), F.lit(r"(?:[.!?][\"')]*\s+)?\b[A-Z][a-z]*(?= [a-z])"), F.lit(0))
+    w = docs.where(F.col(text).rlike("[A-Z]")).select(F.explode(found).alias("m"))
+    w = w.groupBy(F.regexp_extract("m", r"[A-Z][a-z]*$", 0).alias("w")).agg(F.count_if(F.col("m").rlike(r"^[.!?]")).alias("s"), F.count(F.lit(1)).alias("n"))
+    w = w.where((F.col("s") >= least) & (F.col("s") >= share * F.col("n"))).checkpoint()
+    total = w.agg(F.sum("s")).first()[0] or 0
+    return frozenset(r["w"] for r in w.where(F.col("s") >= support * total).collect())
+
+
+def _opened(text: str, openers: frozenset[str]) -> list[str]:
+    """The text cut before each word that opens a sentence."""
+    cuts = [m for m in _CAPITAL.finditer(text) if m[1] in openers]
+    if not cuts:
+        return [text]
+    edges = [0, *(m.end() for m in cuts)]
+    return [text[a:b].strip() for a, b in zip(edges, [*(m.start() for m in cuts), len(text)])]
+
+
+def sentences(text: str, openers: frozenset[str] = frozenset()) -> list[str]:
+    """The sentences of a text, folded; headings and markup left out. ``openers``: see :func:`mine_openers`."""
     if "\n" in text:
         text = unwrapped(text)
     if "&" in text:
@@ -84,8 +103,8 @@ def sentences(text: str) -> list[str]:
             s = _TAG.sub(" ", s)
         if "다 " in s:
             out += [x.casefold() for x in _PREDICATE.split(s) if x]
-        elif len(s) > 80 and not s.isupper() and _OPENING.search(s):
-            out += [x.casefold() for x in _OPENING.split(s) if x]
+        elif openers and not s.isupper():
+            out += [x.casefold() for x in _opened(s, openers) if x]
         else:
             out.append(s.casefold())
     return out[1:] if len(out) > 1 and _HEADING.match(out[0]) else out
@@ -101,7 +120,7 @@ def word_id(word: str, bits: int = BITS) -> int:
     return (zlib.crc32(word.encode()) & (half - 1)) + (half if word[0] <= "z" else 0)
 
 
-def bags(docs: DataFrame, doc_id: str, text: str, bits: int = BITS) -> DataFrame:
+def bags(docs: DataFrame, doc_id: str, text: str, bits: int = BITS, openers: frozenset[str] = frozenset()) -> DataFrame:
     """``doc``, the word ids of all its sentences (``w``) and the sentences' lengths (``n``), as packed integers."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,7 +143,7 @@ def bags(docs: DataFrame, doc_id: str, text: str, bits: int = BITS) -> DataFrame
             for d, t in zip(b["d"], b["t"]):
                 w: list[int] = []
                 n: list[int] = []
-                for s in sentences(t):
+                for s in sentences(t, openers):
                     ko = "".join(_HANGUL.findall(s))
                     own = hangul.get(ko)
                     if own is None:
@@ -200,22 +219,30 @@ def posterior(b: Batch, logs: np.ndarray, allowed: np.ndarray, alpha: float, rou
     return post
 
 
-def _summed(rows: DataFrame, shape: tuple[int, int]) -> np.ndarray:
-    """The sum of the tables that workers sent in blocks of columns."""
+def _summed(rows: DataFrame, shape: tuple[int, int], ways: int = 64) -> np.ndarray:
+    """The sum of the tables that workers sent in blocks of columns, in two levels: first in ``ways`` parts a block, each
+    of what some tasks sent, taken in as it comes, then over the parts, of which there are ``ways`` however many tasks."""
 
-    def add(f: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(x, dtype=np.float32).astype(np.float64) for x in f["v"]], axis=0)
-        return pd.DataFrame({"block": [f["block"].iloc[0]], "v": [total.tobytes()]})
+    def add(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for f in frames:
+            for x in f["v"]:
+                t = np.frombuffer(x, dtype=np.float64)
+                total = t.copy() if total is None else total + t
+        yield pd.DataFrame({"block": [key[0]], "part": [0], "v": [total.tobytes()]})
 
     out = np.zeros(shape)
-    for r in rows.groupBy("block").applyInPandas(add, "block int, v binary").collect():
+    kind = "block int, part int, v binary"
+    parts = rows.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(ways)).cast("int"))
+    some = parts.groupBy("block", "part").applyInPandas(add, kind) if rows.rdd.getNumPartitions() > ways else parts.select("block", "part", "v")
+    for r in some.groupBy("block").applyInPandas(add, kind).collect():
         out[:, r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["v"], dtype=np.float64).reshape(shape[0], -1)
     return out
 
 
 def _blocks(table: np.ndarray) -> pd.DataFrame:
     cuts = range(0, table.shape[1], BLOCK)
-    return pd.DataFrame({"block": [c // BLOCK for c in cuts], "v": [table[:, c : c + BLOCK].astype(np.float32).tobytes() for c in cuts]})
+    return pd.DataFrame({"block": [c // BLOCK for c in cuts], "v": [table[:, c : c + BLOCK].astype(np.float64).tobytes() for c in cuts]})
 
 
 @dataclass
@@ -324,6 +351,14 @@ def assign(bag: DataFrame, model: Model, share: float = 0.22, alpha: float = 0.1
     return bag.mapInPandas(run, "doc bigint, subject string, share double")
 
 
+def closed_set(df: DataFrame, column: str, most: int = 1000) -> list[str]:
+    """The distinct values of a dimension, in order; more than ``most`` are refused, as each is a topic of the model."""
+    names = [r[0] for r in df.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column).limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} values of {column}: set `most` for a larger model")
+    return names
+
+
 def label_sample(labels: DataFrame, doc_id: str, subject: str, subjects: list[str], max_labelled: int) -> dict[int, list[int]]:
     """Subjects of at most ``max_labelled`` labelled documents, those with the least hashes."""
     rows = (
@@ -340,6 +375,7 @@ def label_sample(labels: DataFrame, doc_id: str, subject: str, subjects: list[st
 
 def topic_model(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, subjects: list[str], max_labelled: int = 20_000, **options) -> tuple[DataFrame, Model | None]:
     """The stored bags of all documents and the model fitted on them; no model without labels."""
-    bag = durable(bags(docs, doc_id, text, options.get("bits", BITS)), "bags")
+    shared_dir(docs.sparkSession)
+    bag = durable(bags(docs, doc_id, text, options.get("bits", BITS), mine_openers(docs, text)), "bags")
     known = label_sample(labels, doc_id, "subject", subjects, max_labelled)
     return bag, fit(bag, known, subjects, **options) if known else None

@@ -83,18 +83,45 @@ def test_sentences():
     assert sj.sentences("<p>하나 둘 셋&nbsp;넷<br/>다섯 여섯</p>") == ["하나 둘 셋 넷", "다섯 여섯"]
     assert sj.sentences("문이 열렸다  차가 섰다  법보다 주먹이 가깝다") == ["문이 열렸다", "차가 섰다", "법보다 주먹이 가깝다"]
     long = "skies cleared once the trough moved east and the wind dropped over the bay The kitchen served hot pot"
-    assert len(sj.sentences(long)) == 2
-    assert len(sj.sentences(long.upper())) == 1
+    assert len(sj.sentences(long)) == 1
+    assert sj.sentences(long, frozenset(["The"])) == [long[: long.index(" The")], "the kitchen served hot pot"]
+    assert len(sj.sentences(long.upper(), frozenset(["THE"]))) == 1
     text = "비가 왔다. 눈이 왔다. 바람이 불었다. 해가 떴다. 달이 떴다."
     assert sj.sentences("\n".join(text[i : i + 8] for i in range(0, len(text), 8))) == sj.sentences(text)
     assert sj.sentences("비가 왔다\n눈이 왔다\n해가 났다고 한다") == ["비가 왔다", "눈이 왔다", "해가 났다고 한다"]
     assert sj.words("가나 다 ab c") == ["가나", "나다", "ab"]
 
 
+def test_openers_are_mined(spark):
+    """Words that stand after end marks; names inside sentences, and words seen too rarely, are none."""
+    t = [("Then we saw Dalbit. Later we went to Noeul. The end",), ("It rained. The wind fell on Dalbit. Once more",), (None,), ("",)] * 6 + [("x. Rarely so",)]
+    d = spark.createDataFrame(t, "text string")
+    assert sj.mine_openers(d, "text") == {"Later", "The", "Once"}
+    assert sj.mine_openers(d.limit(0), "text") == frozenset()
+
+
+def test_sums_in_two_levels(spark):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    tables = [r.random((3, 2 * sj.BLOCK)) for _ in range(12)]
+    rows = [(b, t[:, b * sj.BLOCK : (b + 1) * sj.BLOCK].tobytes()) for t in tables for b in (0, 1)]
+    d = spark.createDataFrame(rows, "block int, v binary").repartition(6)
+    for ways in (2, 64):
+        assert np.allclose(sj._summed(d, (3, 2 * sj.BLOCK), ways), sum(tables))
+
+
+def test_a_dimension_is_taken_whole_or_refused(spark):
+    d = spark.range(1001).selectExpr("cast(id as string) as subject")
+    with pytest.raises(ValueError):
+        sj.closed_set(d, "subject")
+    assert len(sj.closed_set(d, "subject", 1001)) == 1001 and sj.closed_set(d.where("id > 998").union(spark.sql("select null")), "subject") == ["1000", "999"]
+
+
 @pytest.mark.parametrize("text", ["<" * 300_000, "a " * 200_000 + " " * 300_000 + "b", "가" * 500_000, "\n" * 300_000, "1" * 300_000, "<br" * 100_000, "다 " * 200_000])
 def test_long_texts_take_linear_time(text):
     import time
 
     began = time.time()
-    sj.sentences(text)
+    sj.sentences(text, frozenset(["The"]))
     assert time.time() - began < 5
