@@ -8,6 +8,11 @@ a join on length; ranks come from bucketed windows, so a length that a third of
 All permitted sizes are planned jointly: where no open bin has room, the size is opened that costs least for each
 token it is expected to hold, and in the end every bin is cut down to the smallest size that holds its contents.
 
+The plan is bounded by the capacity, whatever the corpus. A length opens at most one group of bins and splits at most one
+into three, so there are at most three groups a length. Filling a group to the full leaves less than half its room, so
+that happens to it at most log2(capacity) + 1 times; a group filled in part ends its length, with two placements. So a
+plan has at most ``bound(capacity)`` placements and three bins rows a length: broadcasting both has a proven bound.
+
 An item above the largest capacity is divided into full containers and a remainder; no other item is. An item of
 length 0 (null or empty text) takes no room and gets a row with a null container. Repeated ids are items of their own.
 An empty table gives an empty result.
@@ -111,6 +116,11 @@ def plan(histogram: dict[int, int], sizes: list[int], cost: Callable[[int], floa
     return places, [(g.lo, g.hi, g.used, next(s for s in sizes if s >= g.used)) for g in sorted(closed, key=lambda g: g.lo)]
 
 
+def bound(capacity: int) -> int:
+    """The most placements that a plan can have: see above."""
+    return 3 * capacity * (capacity.bit_length() + 1) + 2 * capacity
+
+
 def pack(items: DataFrame, id: str, length: str, sizes: list[int], overhead: float = 16.0, rows_per_bucket: int = 200_000) -> DataFrame:
     """``id, piece_no, piece_start, n_tokens, sequence_id, sequence_length, offset``: where every item, or piece of one
     above ``max(sizes)``, lies. ``overhead``: what opening a container costs, in units of length. ``items`` is read
@@ -123,8 +133,7 @@ def pack(items: DataFrame, id: str, length: str, sizes: list[int], overhead: flo
     ).select("id", F.col("pos").alias("piece_no"), F.col("col").alias("piece_start"), F.least(F.col("_n") - F.col("col"), F.lit(top)).alias("n_tokens"))
     histogram = {r["n_tokens"]: r["c"] for r in pieces.where("n_tokens > 0").groupBy("n_tokens").agg(F.count(F.lit(1)).alias("c")).collect()}
     places, bins = plan(histogram, sizes, lambda s: s + overhead)
-    if len(places) > 64 * top:  # bounded by the lengths and the splits they cause, not by the items
-        raise RuntimeError("the plan is too large to broadcast")
+    assert len(places) <= bound(top) and len(bins) <= 3 * top + 1
     rows = sum(histogram.values())
     space = 1 << 40
     width = max(1, space // max(1, rows // rows_per_bucket + 1))

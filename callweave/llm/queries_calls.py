@@ -27,7 +27,8 @@ SELECT DISTINCT b.call_id AS call_id FROM b JOIN c USING (call_id) WHERE b.model
 def p1_found(spark, sf):
     b = table(spark, sf, "benchmark_calls").where("model_chunks is not null").select("call_id", "model_chunks").distinct()
     m = table(spark, sf, "mission1_manifest").join(b.select("call_id"), "call_id", "left_semi").select("call_id", "reporter_segments_ms").distinct()
-    n = splitting.piece_counts(m, "call_id", splitting.segments_from_json("reporter_segments_ms"))
+    m = splitting.merged(m, "call_id", splitting.segments_from_json("reporter_segments_ms"))
+    n = splitting.piece_counts(m, "call_id", F.col("segments"))
     return b.join(n, "call_id").where("model_chunks <> n_pieces").select("call_id").distinct()
 
 
@@ -36,7 +37,8 @@ def p1_pieces(spark, sf):
     """Every piece of every benchmark call."""
     b = table(spark, sf, "benchmark_calls").select("call_id").distinct()
     m = table(spark, sf, "mission1_manifest").join(b, "call_id", "left_semi").select("call_id", "reporter_segments_ms").distinct()
-    return splitting.pieces(m, "call_id", splitting.segments_from_json("reporter_segments_ms"))
+    m = splitting.merged(m, "call_id", splitting.segments_from_json("reporter_segments_ms"))
+    return splitting.pieces(m, "call_id", F.col("segments"))
 
 
 P2_SQL = r"""

@@ -43,6 +43,13 @@ def segments_from_json(col: str) -> Column:
     return F.array_sort(F.array_distinct(F.transform(ok, lambda p: F.struct(p[0].alias("s"), p[1].alias("e")))))
 
 
+def merged(df: DataFrame, key: str, segments: Column) -> DataFrame:
+    """``key`` and the ``segments`` of all its rows together, distinct and in order: several rows of one item are one
+    item. An item's segments are one row; a null list adds none."""
+    rows = F.array_sort(F.array_distinct(F.flatten(F.collect_list(segments))))
+    return df.groupBy(key).agg(rows.alias("segments"))
+
+
 def cut_runs(lengths: list[int], strength: list[int], limit: int) -> list[int]:
     """Where to cut a run of items, each of at most ``limit``: indexes after which a cut falls, as few as possible.
     ``strength[i]`` is that of the boundary after item i."""

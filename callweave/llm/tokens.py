@@ -18,18 +18,19 @@ MAX_VOCABULARY_BYTES = 32 << 20
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def counter(raw: bytes):
+def counter(raw: bytes, blanks: int = 10_000):
     """A function from a text to its number of tokens. The library's own splitter gives up on runs of very many
-    blanks; texts with such a run are split here, by the same pattern, and each part is encoded on its own."""
+    blanks; texts with a run of ``blanks`` are split here, by the same pattern, and each part is encoded on its own, which
+    gives the same counts."""
     import regex
     import tiktoken
 
     ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line)}
     enc = tiktoken.Encoding("callweave", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    long_run, parts = re.compile(r"\s{10000}"), regex.compile(PATTERN)
+    long_run, parts = re.compile(rf"\s{{{blanks}}}"), regex.compile(PATTERN)
 
     def count(text: str) -> int:
-        if len(text) >= 10_000 and long_run.search(text):
+        if len(text) >= blanks and long_run.search(text):
             return sum(len(enc._core_bpe.encode_single_piece(p.encode())) for p in parts.findall(text))
         return len(enc.encode_ordinary(text))
 

@@ -2,6 +2,8 @@ import random
 from collections import defaultdict
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from callweave.llm import packing, tokens
@@ -34,6 +36,15 @@ def test_plan_places_everything_once(seed):
     check(*packing.plan(h, sizes, lambda s: s + 1), h)
 
 
+@pytest.mark.parametrize("top", [16, 64, 256, 1024])
+def test_plans_stay_under_their_bound(top):
+    for seed in range(8):
+        r = random.Random(seed)
+        h = {n: r.choice([1, 2, 7, 10**6, 10**12]) for n in range(1, top + 1) if r.random() < 0.9}
+        places, bins = packing.plan(h, [top // 4, top // 2, top], lambda s: s + 1)
+        assert len(places) <= packing.bound(top) and len(bins) <= 3 * top
+
+
 def test_one_size_is_best_fit_decreasing():
     for seed in range(60):
         r = random.Random(seed)
@@ -83,3 +94,14 @@ def test_token_counts_are_exact(spark):
     d = spark.createDataFrame([(t,) for t in texts], "text string")
     assert n(" " * 12_000 + "ab c") == n(" " * 9_000 + "ab c") + 3_000 and n(" " * 1_000_000) == 1_000_000 and n("\n" * 20_000) == 20_000
     assert sorted(r.n_tokens for r in tokens.with_token_counts(d, "text").collect()) == sorted(n(t) if t else 0 for t in texts)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet=" \t\n\u00a0\u3000ab'sC9가나.,!?", max_size=60))
+def test_both_ways_of_splitting_give_the_same_counts(text):
+    assert BY_PARTS(text) == WHOLE(text)
+
+
+with open(tokens.DEFAULT_VOCABULARY, "rb") as f:
+    RAW = f.read()
+WHOLE, BY_PARTS = tokens.counter(RAW), tokens.counter(RAW, 1)

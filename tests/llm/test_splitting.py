@@ -49,6 +49,12 @@ def test_nulls_repeats_and_clashing_columns(spark, rows):
     assert (got.piece_start, got.piece_end, got.length, got.n_segments, got.cut) == (0, 40, 20, 2, False)
 
 
+def test_rows_of_one_item_are_one_item(spark, rows):
+    d = spark.createDataFrame([("a", "[[0, 9000]]"), ("a", "[[0, 9000], [10000, 15000]]"), ("a", None), ("b", None)], "k string, s string")
+    m = sp.merged(d, "k", sp.segments_from_json("s"))
+    assert rows(sp.piece_counts(m, "k", F.col("segments"))) == [("a", 1), ("b", 0)]
+
+
 def test_a_very_long_item(spark):
     segs = [[i * 100, i * 100 + 60] for i in range(20_000)]
     d = spark.createDataFrame([("a", json.dumps(segs))], "k string, s string")
