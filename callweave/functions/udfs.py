@@ -132,12 +132,17 @@ def find_records(doc, key: str):
 
 
 def redact(doc, keep: frozenset[str], longest: int = 3):
-    """Listed keys keep their values, others show their type; lists are cut to a few members."""
-    if isinstance(doc, dict):
-        return {k: v if k in keep and not isinstance(v, dict | list) else redact(v, keep, longest) for k, v in doc.items()}
-    if isinstance(doc, list):
-        return [redact(x, keep, longest) for x in doc[:longest]]
-    return type(doc).__name__
+    """Values under listed keys stay, others show ``<type:redacted>``; lists are cut to a few members, which go by the
+    key of their list."""
+
+    def masked(x, shown: bool):
+        if isinstance(x, dict):
+            return {k: masked(v, k in keep) for k, v in x.items()}
+        if isinstance(x, list):
+            return [masked(y, shown) for y in x[:longest]]
+        return x if shown else f"<{type(x).__name__}:redacted>"
+
+    return masked(doc, False)
 
 
 def json_udf(f, *args):

@@ -5,12 +5,13 @@ from __future__ import annotations
 import io
 import re
 import struct
-import wave
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,15 +30,33 @@ def listing(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
 
 def listing_all(spark: SparkSession, root: str) -> DataFrame:
     """``path, size`` of all files below a folder, also those that a scan never shows because their names begin with a
-    dot or an underscore. The JVM lists metadata as it does to plan a scan, and hands it over in one piece."""
+    dot or an underscore. Where Arrow can open the file system, tasks list the folders below the root, each its own;
+    elsewhere the JVM lists metadata as it does to plan a scan, and hands it over in one piece."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found: list[tuple[str, int]] = []
-    if fs.exists(path):
+    if not fs.exists(path):
+        return spark.createDataFrame([], "path string, size bigint")
+    if not opens_directly(root):
         text = jvm.org.apache.spark.deploy.SparkHadoopUtil.get().listLeafStatuses(fs, path).mkString("\n")
         found = [(m[1], int(m[2])) for m in re.finditer(r"path=(.*?); isDirectory=false; length=(\d+)", text)]
-    return spark.createDataFrame(found, "path string, size bigint")
+        return spark.createDataFrame(found, "path string, size bigint")
+    top = [(s.getPath().toString(), s.isDirectory(), s.getLen()) for s in fs.listStatus(path)]
+
+    def below(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p in b["path"]:
+                store, name = _located(p)
+                prefix = p[: len(p) - len(name)] if p.endswith(name) else ""
+                found = [(prefix + i.path, i.size) for i in store.get_file_info(pafs.FileSelector(name, recursive=True)) if i.type == pafs.FileType.File]
+                if found:
+                    yield pd.DataFrame(found, columns=["path", "size"])
+
+    here = spark.createDataFrame([(p, n) for p, d, n in top if not d], "path string, size bigint")
+    deep = [(p,) for p, d, _ in top if d]
+    if not deep:
+        return here
+    return here.unionByName(spark.createDataFrame(deep, "path string").repartition(len(deep)).mapInPandas(below, "path string, size bigint"))
 
 
 def _binary(spark: SparkSession, root: str, glob: str) -> DataFrame:
@@ -78,72 +97,163 @@ def stem_index(files: DataFrame) -> DataFrame:
     return files.groupBy(nfc(file_stem(F.col("path"))).alias("stem")).agg(F.sort_array(F.collect_list("path")).alias("paths"))
 
 
+# fixed values: states of a chunk structure and names of sample formats
+NO_RIFF, CUT_RIFF, CUT_CHUNK, NO_DATA = "non_RIFF_WAVE_requires_review", "truncated_RIFF", "truncated_chunk", "missing_data_chunk"
+SUBTYPES = {(1, 8): "PCM_U8", (1, 16): "PCM_16", (1, 24): "PCM_24", (1, 32): "PCM_32", (3, 32): "FLOAT", (3, 64): "DOUBLE", (6, 8): "ALAW", (7, 8): "ULAW"}
+
+
+class WavError(ValueError):
+    """A file that is no readable WAV."""
+
+
+def walk_chunks(f: BinaryIO, size: int) -> tuple[str, dict]:
+    """State of the chunk structure up to the RIFF boundary, and what the header says: ``format`` (tag), ``bits``,
+    ``channels``, ``rate``, ``block``, ``data`` (place and bytes of the samples). Reads twelve bytes, chunk heads and the
+    format chunk, and passes over all else by position."""
+    head, out = f.read(12), {}
+    if len(head) != 12 or head[:4] != b"RIFF" or head[8:] != b"WAVE":
+        return NO_RIFF, out
+    boundary = struct.unpack("<I", head[4:8])[0] + 8
+    status, at = (CUT_RIFF if boundary > size else None), 12
+    while at + 8 <= min(boundary, size):
+        f.seek(at)
+        name, n = struct.unpack("<4sI", f.read(8))
+        if name == b"fmt " and n >= 16 and "rate" not in out:
+            fmt = f.read(min(n, 40))
+            if len(fmt) >= 16:
+                tag, out["channels"], out["rate"], _, out["block"], out["bits"] = struct.unpack("<HHIIHH", fmt[:16])
+                out["format"] = struct.unpack("<H", fmt[24:26])[0] if tag == 0xFFFE and len(fmt) >= 26 else tag
+        if name == b"data" and "data" not in out:
+            out["data"] = (at + 8, n)
+        if at + 8 + n > min(boundary, size):
+            status = status or CUT_CHUNK
+            break
+        at += 8 + n + n % 2
+    return status or ("ok" if "data" in out else NO_DATA), out
+
+
 def riff_status(content: bytes, size: int | None = None) -> str:
-    """State of the chunk structure of a whole file, from chunk to chunk up to the RIFF boundary; no payload is read."""
+    """State of the chunk structure of a whole file."""
     size = len(content) if size is None else size
     if len(content) < size:
         raise ValueError("the chunks of a file can't be followed in its first bytes")
-    if size < 12 or content[:4] != b"RIFF" or content[8:12] != b"WAVE":
-        return "non_RIFF"
-    boundary = struct.unpack_from("<I", content, 4)[0] + 8
-    if boundary > size:
-        return "truncated_RIFF"
-    at, data = 12, False
-    while at + 8 <= boundary:
-        name, n = struct.unpack_from("<4sI", content, at)
-        if at + 8 + n > boundary:
-            return "truncated_chunk"
-        data |= name == b"data"
-        at += 8 + n + n % 2
-    return "ok" if data else "missing_data_chunk"
+    return walk_chunks(io.BytesIO(content), size)[0]
+
+
+def _described(head: dict) -> dict:
+    out = dict.fromkeys(("sample_rate", "channels", "frames", "duration_s", "subtype", "error"))
+    if "rate" not in head or "data" not in head:
+        return out | {"error": "WavError: no format chunk" if "rate" not in head else "WavError: no data chunk"}
+    kind = SUBTYPES.get((head["format"], head["bits"]))
+    if kind is None or not head["block"]:
+        return out | {"error": f"WavError: unknown format {head['format']} of {head['bits']} bits"}
+    n = head["data"][1] // head["block"]
+    return out | {"sample_rate": head["rate"], "channels": head["channels"], "frames": n, "subtype": kind, "duration_s": n / head["rate"] if head["rate"] else None}
 
 
 def wav_header(content: bytes) -> dict:
     """Rate, channels, frames, duration, sample format; ``error`` names what went wrong."""
-    out = dict.fromkeys(("sample_rate", "channels", "frames", "duration_s", "subtype", "error"))
-    try:
-        with wave.open(io.BytesIO(content)) as w:
-            out |= {"sample_rate": w.getframerate(), "channels": w.getnchannels(), "frames": w.getnframes(), "subtype": f"PCM_{8 * w.getsampwidth()}"}
-            out["duration_s"] = w.getnframes() / w.getframerate() if w.getframerate() else None
-    except (wave.Error, EOFError, struct.error) as e:
-        out["error"] = f"{type(e).__name__}: {e}"
-    return out
+    return _described(walk_chunks(io.BytesIO(content), len(content))[1])
 
 
 HEADER = "path string, size_bytes bigint, sample_rate int, channels int, frames bigint, duration_s double, subtype string, riff_status string, error string"
 
 
 def wav_headers(spark: SparkSession, root: str) -> DataFrame:
-    """One row a WAV file: its header and the state of its chunks, wherever in the file they lie. Contents cross to
-    Python, where chunk headers are followed and no sample is decoded; the frame count follows from the data chunk's
-    stated size."""
+    """One row a WAV file: its header and the state of its chunks, wherever in the file they lie. Only chunk heads are
+    read, by position; no content crosses to the driver or the JVM. The frame count is the data chunk's stated size. A
+    file system that Arrow can't open is read through Spark, whole files at a time."""
+    names = [c.split()[0] for c in HEADER.split(", ")]
+    schema = pa.schema([(n, {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}[t]) for n, t in map(str.split, HEADER.split(", "))])
+    direct = opens_directly(root)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(n, {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}[t]) for n, t in map(str.split, HEADER.split(", "))])
         for b in batches:
             rows = []
-            for p, n, c in zip(b.column("path"), b.column("length"), b.column("content")):
-                content = c.as_py()  # one file at a time
-                rows.append({"path": p.as_py(), "size_bytes": n.as_py(), "riff_status": riff_status(content)} | wav_header(content))
+            for i, (p, n) in enumerate(zip(b.column("path").to_pylist(), b.column("length").to_pylist())):
+                try:
+                    with open_file(p) if direct else io.BytesIO(b.column("content")[i].as_py()) as f:
+                        status, head = walk_chunks(f, n)
+                    rows.append({"path": p, "size_bytes": n, "riff_status": status} | _described(head))
+                except (OSError, struct.error) as e:
+                    rows.append(dict.fromkeys(names) | {"path": p, "size_bytes": n, "error": f"{type(e).__name__}: {e}"})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     f = real_files(_binary(spark, root, "*.wav"))
-    return f.select("path", "length", "content").mapInArrow(run, HEADER)
+    return f.select("path", "length", *([] if direct else ["content"])).mapInArrow(run, HEADER)
+
+
+def _located(path: str) -> tuple[pafs.FileSystem, str]:
+    if re.match(r"^(file:)?/", path):
+        return pafs.LocalFileSystem(), re.sub(r"^(file:)?/+", "/", path)
+    scheme, rest = path.split("://", 1)
+    fs, base = pafs.FileSystem.from_uri(f"{scheme}://{rest.split('/', 1)[0]}/")
+    return fs, base.rstrip("/") + "/" + rest.split("/", 1)[1] if base.strip("/") else "/" + rest.split("/", 1)[1]
+
+
+def opens_directly(root: str) -> bool:
+    try:
+        _located(root.rstrip("/") + "/x")
+        return True
+    except (OSError, pa.ArrowException, ValueError, ImportError):
+        return False
+
+
+def open_file(path: str) -> BinaryIO:
+    """A file of a local or remote file system, for reading by position."""
+    fs, name = _located(path)
+    return fs.open_input_file(name)
+
+
+def write_files(df: DataFrame, root: str, name: str, content: str) -> int:
+    """One file a row below ``root``, written by the tasks; how many. ``name`` may hold folders."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for n, c in zip(b["n"], b["c"]):
+                fs, path = _located(f"{root.rstrip('/')}/{n}")
+                fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(path) as f:
+                    f.write(c)
+            yield pd.DataFrame({"k": [len(b)]})
+
+    return df.select(F.col(name).alias("n"), F.col(content).cast("binary").alias("c")).mapInPandas(run, "k bigint").agg(F.sum("k")).first()[0] or 0
+
+
+def _companded(kind: str) -> np.ndarray:
+    """The 256 values of A-law or mu-law, in [-1, 1)."""
+    c = np.arange(256)
+    if kind == "ULAW":
+        c = ~c & 0xFF
+        v = ((c & 15) << 3) + 132 << (c >> 4 & 7)
+        return np.where(c & 128, 132 - v, v - 132) / 32768.0
+    c = c ^ 0x55
+    e, m = c >> 4 & 7, (c & 15) << 4
+    v = np.where(e == 0, m + 8, (m + 264) << np.maximum(e - 1, 0))
+    return np.where(c & 128, v, -v) / 32768.0
 
 
 def decode_wav(content: bytes) -> tuple[np.ndarray, int]:
-    """Samples in [-1, 1), channels averaged, and the rate."""
-    with wave.open(io.BytesIO(content)) as w:
-        n, width, rate = w.getnchannels(), w.getsampwidth(), w.getframerate()
-        raw = w.readframes(w.getnframes())
-    if width == 1:
+    """Samples in [-1, 1], channels averaged, and the rate; integer, floating-point and companded formats."""
+    head = walk_chunks(io.BytesIO(content), len(content))[1]
+    known = _described(head)
+    if known["error"]:
+        raise WavError(known["error"])
+    at, n = head["data"]
+    whole = min(n, len(content) - at) // head["block"] * head["block"]
+    raw, kind, width = content[at : at + whole], known["subtype"], head["bits"] // 8
+    if kind == "PCM_U8":
         x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
-    elif width == 3:
+    elif kind == "PCM_24":
         b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
         x = ((b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16) << 8 >> 8).astype(np.float32) / (1 << 23)
+    elif kind in ("ALAW", "ULAW"):
+        x = _companded(kind)[np.frombuffer(raw, np.uint8)].astype(np.float32)
+    elif kind in ("FLOAT", "DOUBLE"):
+        x = np.frombuffer(raw, f"<f{width}").astype(np.float32)
     else:
         x = np.frombuffer(raw, f"<i{width}").astype(np.float32) / float(1 << (8 * width - 1))
-    return x.reshape(-1, n).mean(axis=1), rate
+    return x.reshape(-1, head["channels"]).mean(axis=1), head["rate"]
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
@@ -153,7 +263,7 @@ def waveform(content: pd.Series) -> pd.Series:
     def one(c):
         try:
             return decode_wav(bytes(c))[0]
-        except (wave.Error, EOFError, struct.error, TypeError, ValueError):
+        except (struct.error, TypeError, ValueError):
             return None
 
     return pd.Series([one(c) for c in content], dtype=object)
@@ -170,7 +280,7 @@ def crops(spark: SparkSession, root: str, jobs: DataFrame) -> DataFrame:
                 try:
                     x, rate = decode_wav(bytes(c))
                     fault = None
-                except (wave.Error, EOFError, struct.error) as e:
+                except (struct.error, ValueError) as e:
                     x, rate, fault = None, 0, str(e)
                 for i, r in enumerate(iv):
                     s, e = r["s"], r["e"]

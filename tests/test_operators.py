@@ -283,7 +283,7 @@ def test_json_helpers(spark, rows):
     assert list(udfs.walk(doc)) == [("a[].b", "integer", "1"), ("a[].b", "string", "x"), ("e", "array", None), ("n.address", "string", "서울시 가"), ("u[].text", "string", "t")]
     assert next(udfs.walk(doc, inner=True)) == ("$", "object", None)
     assert udfs.find_key(doc, ["address"]) == "서울시 가" and udfs.find_string(doc, "서울") == "서울시 가" and udfs.find_records(doc, "text") == [{"text": "t"}]
-    assert udfs.redact({"k": "v", "z": [1, 2, 3, 4]}, frozenset({"k"})) == {"k": "v", "z": ["int"] * 3}
+    assert udfs.redact({"k": "v", "z": [1, 2, 3, 4]}, frozenset({"k"})) == {"k": "v", "z": ["<int:redacted>"] * 3}
     d = spark.createDataFrame([("1", '{"address": "부산"}'), ("2", '{"x": {"addr": "서울"}}'), ("3", "no json"), ("4", None)], "i string, t string")
     assert rows(d.select("i", udfs.resolved_address(F.col("t")).alias("a"))) == [("1", "부산"), ("2", "서울"), ("3", None), ("4", None)]
     assert rows(udfs.walked(d, "i", "t"), "id", "type")[2:] == [("3", "invalid"), ("4", "invalid")]

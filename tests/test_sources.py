@@ -49,6 +49,19 @@ def corpus(tmp_path):
     return tmp_path
 
 
+def test_lines_are_numbered_over_blocks_and_files(spark, rows, tmp_path):
+    for f in range(3):
+        (tmp_path / f"{f}.txt").write_text("\n".join(f"{f}-{i}" for i in range(200)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+        d = readers.numbered_lines(spark, str(tmp_path))
+        assert d.rdd.getNumPartitions() > 3
+        assert [(r.line_no, r.value) for r in d.orderBy("line_no").collect()] == [(200 * f + i, f"{f}-{i}") for f in range(3) for i in range(200)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_listing_and_folders(spark, rows, corpus):
     every = files.listing_all(spark, str(corpus)).where("path like '%.wav'")
     assert rows(files.ignored_count(every)) == [(1, 5)]
@@ -60,11 +73,50 @@ def test_listing_and_folders(spark, rows, corpus):
     assert files.stem_index(files.real_files(f)).where("size(paths) = 1").count() == 5
 
 
+def any_wav(tag, bits, raw, rate=8000, channels=1, extensible=False):
+    block = channels * bits // 8
+    fmt = struct.pack("<HHIIHH", 0xFFFE if extensible else tag, channels, rate, rate * block, block, bits)
+    if extensible:
+        fmt += struct.pack("<HHI", 22, bits, 0) + struct.pack("<H", tag) + bytes(14)
+    body = b"WAVE" + b"fmt " + struct.pack("<I", len(fmt)) + fmt + b"data" + struct.pack("<I", len(raw)) + raw
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
+def test_other_sample_formats(spark, tmp_path):
+    x = np.array([0.0, 0.5, -0.25, 1.0, -1.0])
+    made = {
+        "FLOAT": any_wav(3, 32, x.astype("<f4").tobytes()),
+        "DOUBLE": any_wav(3, 64, x.astype("<f8").tobytes(), extensible=True),
+        "PCM_U8": any_wav(1, 8, bytes([128, 192, 96, 255, 0])),
+        "PCM_24": any_wav(1, 24, b"".join(int(v * 8388607).to_bytes(3, "little", signed=True) for v in x)),
+        "ULAW": any_wav(7, 8, bytes([0xFF, 0x8F, 0x2F, 0x80, 0x00])),
+        "ALAW": any_wav(6, 8, bytes([0xD5, 0xBA, 0x2A, 0xAA, 0x55])),
+    }
+    for name, raw in made.items():
+        (tmp_path / f"{name}.wav").write_bytes(raw)
+    (tmp_path / "ADPCM.wav").write_bytes(any_wav(2, 4, bytes(8), channels=2))
+    (tmp_path / "nofmt.wav").write_bytes(b"RIFF" + struct.pack("<I", 12) + b"WAVEdata" + struct.pack("<I", 0))
+    h = {r.path.rsplit("/", 1)[-1][:-4]: r for r in files.wav_headers(spark, str(tmp_path)).collect()}
+    assert {n: (h[n].subtype, h[n].frames, h[n].error) for n in made} == {n: (n, 5, None) for n in made}
+    assert h["ADPCM"].error and h["ADPCM"].riff_status == "ok" and h["nofmt"].error
+    for name in ("FLOAT", "DOUBLE", "PCM_U8", "PCM_24"):
+        assert np.allclose(files.decode_wav(made[name])[0], x, atol=0.01)
+    u, a = files.decode_wav(made["ULAW"])[0], files.decode_wav(made["ALAW"])[0]
+    assert u[0] == 0 and abs(u[3] - 32124 / 32768) < 1e-6 and u[3] == -u[4] and abs(a[3] - 32256 / 32768) < 1e-6 and 0 < a[0] < 0.001 and a[0] == -a[4]
+
+
+def test_headers_are_read_through_spark_where_arrow_has_no_file_system(spark, rows, corpus, monkeypatch):
+    one = rows(files.wav_headers(spark, str(corpus)))
+    listed = rows(files.listing_all(spark, str(corpus)))
+    monkeypatch.setattr(files, "opens_directly", lambda root: False)
+    assert rows(files.wav_headers(spark, str(corpus))) == one and rows(files.listing_all(spark, str(corpus))) == listed
+
+
 def test_headers_and_riff(spark, corpus):
     h = {r.path.rsplit("/", 1)[-1]: r for r in files.wav_headers(spark, str(corpus)).collect()}
     assert len(h) == 5 and h["cut.wav"].riff_status == "truncated_RIFF" and h["TrainingM.wav"].riff_status == "ok"
     assert (h["TrainingM.wav"].sample_rate, h["TrainingM.wav"].frames, h["TrainingM.wav"].duration_s, h["TrainingM.wav"].subtype) == (8000, 8000, 1.0, "PCM_16")
-    assert files.riff_status(b"abc", 3) == "non_RIFF"
+    assert files.riff_status(b"abc", 3) == "non_RIFF_WAVE_requires_review"
     assert files.riff_status(b"RIFF" + struct.pack("<I", 12) + b"WAVEfmt " + struct.pack("<I", 0), 20) == "missing_data_chunk"
     assert files.riff_status(b"RIFF" + struct.pack("<I", 12) + b"WAVEdata" + struct.pack("<I", 99), 20) == "truncated_chunk"
 
