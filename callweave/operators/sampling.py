@@ -81,6 +81,29 @@ def salted_order(df: DataFrame, id: str, salt: str) -> list[Column]:
     return [F.sha2(F.concat(F.lit(salt), F.col(id)), 256), F.col(id)]
 
 
+def salted_positions(df: DataFrame, id: str, salt: str, buckets: int = 4096) -> DataFrame:
+    """``df`` with ``position``, from 1, in the seeded order. Rows are counted in buckets of the hash, one row a bucket
+    over all; no row passes through Python and no task sorts them all."""
+    d = df.withColumn("_hash", salted_order(df, id, salt)[0]).withColumn("_h", F.conv(F.substring("_hash", 1, HASH_BITS // 4), 16, 10).cast("bigint"))
+    return running_count(d, [], "_h", F.lit(1), "position", (1 << HASH_BITS) // buckets, ["_hash", id]).drop("_hash", "_h")
+
+
+def multilabel_split(df: DataFrame, flags: Sequence[str], id: str, fraction: float, seed: str = "42", width: int = 1 << 24) -> DataFrame:
+    """``df`` with ``held_out``: a part of about ``fraction`` in which every label, and every combination of labels, has
+    its share. Records are laid out by the rarest label that they have, by combination, and by a salted hash; every
+    1 / fraction-th is held out. Places are counted in buckets, so a combination may hold any part of the rows. ``flags``
+    are 0 or 1; null counts as 0."""
+    y = {f: F.coalesce(F.col(f).cast("int"), F.lit(0)) for f in flags}
+    total = df.agg(*[F.sum(c).alias(f) for f, c in y.items()]).first()
+    rare = sorted(flags, key=lambda f: (total[f] or 0, f))
+    rank = F.coalesce(*[F.when(y[f] == 1, F.lit(i)) for i, f in enumerate(rare)], F.lit(len(rare))).cast("bigint")
+    combination = F.pmod(F.xxhash64(*[y[f] for f in rare]), F.lit(1 << 20))
+    at = F.conv(F.substring(salted_hash(seed, F.col(id).cast("string")), 1, 8), 16, 10).cast("bigint")
+    laid = df.withColumn("_o", rank * F.lit(1 << 52) + combination * F.lit(1 << 32) + at)
+    placed = running_count(laid, [], "_o", F.lit(1), "_r", width, [id])
+    return placed.withColumn("held_out", F.floor(F.col("_r") * fraction) > F.floor((F.col("_r") - 1) * fraction)).drop("_o", "_r")
+
+
 def balanced_parts(n: Column, limit: int) -> Column:
     """Lengths of ceil(n / limit) parts that differ by at most one, the longer ones first."""
     k = F.greatest(F.lit(1), F.ceil(n / F.lit(float(limit)))).cast("int")

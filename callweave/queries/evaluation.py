@@ -154,9 +154,9 @@ def probability_blend(spark, sf):
     return c.select("call_id", F.round("p", 9).alias("p"), evaluate.decide(F.col("p"), 0.535).alias("decision"))
 
 
-@query("error_types", f"SELECT label, err, count(*) AS n FROM (SELECT label, CASE WHEN y = 1 AND px < 0.5 THEN 'FN' WHEN y = 0 AND px >= 0.5 THEN 'FP' END AS err FROM {_LABELS}) WHERE err IS NOT NULL GROUP BY 1, 2")
+@query("error_types", f"SELECT label, err, count(*) AS n FROM (SELECT label, CASE WHEN y = 1 AND px < 0.7 THEN 'FN' WHEN y = 0 AND px >= 0.7 THEN 'FP' END AS err FROM {_LABELS}) WHERE err IS NOT NULL GROUP BY 1, 2")
 def error_types(spark, sf):
-    e = scalar.error_type(F.col("y"), evaluate.decide(F.col("px"), 0.5))
+    e = scalar.error_type(F.col("y"), evaluate.decide(F.col("px"), 0.7))
     return labels(spark, sf).select("label", e.alias("err")).where("err is not null").groupBy("label", "err").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -27,9 +27,14 @@ def misaligned(spark, sf):
     return checks.misaligned(table(spark, sf, "mission1_manifest"), _labels(spark, sf), "call_id", ["gender"])
 
 
-@query("vector_faults", "SELECT vec_id FROM embeddings WHERE embedding IS NULL OR len(embedding) <> 64 OR len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) > 0")
+@query("vector_faults", "SELECT vec_id FROM embeddings WHERE embedding IS NULL OR len(embedding) <> 64 OR embedding[1] < 0 OR len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) > 0 OR embedding[1] > 0.2")
 def vector_faults(spark, sf):
-    return checks.vector_faults(table(spark, sf, "embeddings"), "embedding", 64).select("vec_id")
+    """Vectors that can't be used; to have some, those of a large first value lose it and those of a negative one get the
+    logarithm of it in its place, which is no number."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    first = F.log1p(F.when(F.col("x")[0] < 0, F.col("x")[0] - 10).otherwise(F.col("x")[0]))
+    x = F.when(F.col("x")[0] > 0.2, F.slice("x", 2, 64)).otherwise(F.concat(F.array(F.when(F.col("x")[0] < 0, F.coalesce(first, F.lit(float("nan")))).otherwise(first)), F.slice("x", 2, 64)))
+    return checks.vector_faults(e.withColumn("x", x), "x", 64).select("vec_id")
 
 
 @query("metric_gaps", "WITH a AS (SELECT gender AS metric, count(*)::DOUBLE AS value FROM calls WHERE gender IS NOT NULL GROUP BY 1), b AS (SELECT gender AS metric, count(*)::DOUBLE AS published FROM mission1_manifest WHERE gender IS NOT NULL GROUP BY 1) SELECT metric, value, published FROM a FULL JOIN b USING (metric) WHERE coalesce(abs(value - published) > 1e-15, true)")

@@ -75,10 +75,9 @@ def salted_order(spark, sf):
 
 @query("salted_positions", "SELECT call_id, row_number() OVER (ORDER BY sha256('benchmark42' || call_id), call_id) AS position FROM mission1_manifest WHERE call_id IS NOT NULL")
 def salted_positions(spark, sf):
-    """Every id with its place in the seeded order. Places come from a distributed sort, not from one task's window."""
+    """Every id with its place in the seeded order."""
     m = table(spark, sf, "mission1_manifest").select("call_id").where("call_id is not null")
-    placed = m.orderBy(*sampling.salted_order(m, "call_id", "benchmark42")).rdd.zipWithIndex().map(lambda x: (x[0][0], x[1] + 1))
-    return spark.createDataFrame(placed, "call_id string, position bigint")
+    return sampling.salted_positions(m, "call_id", "benchmark42")
 
 
 @query("balanced_parts", f"WITH k AS (SELECT call_id, ms, CAST(greatest(1, ceil(ms / 15000.0::DOUBLE)) AS BIGINT) AS k FROM {_M}) SELECT call_id, CAST(i AS INTEGER) AS part, ms // k + CASE WHEN i < ms % k THEN 1 ELSE 0 END AS length FROM k, LATERAL (SELECT unnest(range(k)) AS i)")

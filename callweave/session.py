@@ -22,6 +22,7 @@ def get_spark(app: str = "callweave", master: str | None = None, **conf: str) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     } | {k.replace("__", "."): v for k, v in conf.items()}
@@ -84,6 +85,10 @@ def durable(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> Da
     local = path.removeprefix("file://")
     if os.path.isabs(local) and os.path.isdir(local):
         atexit.register(shutil.rmtree, local, True)
+    else:
+        sc = df.sparkSession.sparkContext
+        there = sc._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(there)
     return df.sparkSession.read.parquet(path)
 
 

@@ -312,3 +312,59 @@ def test_logistic_separates(spark):
     m = ml.logistic(ml.as_vector(d, "v"), "y", 10.0)
     p = ml.probability(m, ml.as_vector(d, "v"))
     assert p.where("(p >= 0.5) <> (y = 1)").count() == 0
+
+
+def test_pitch_follows_the_cheapest_path():
+    """A voice whose second harmonic is at times the stronger one does not jump an octave; noise is unvoiced."""
+    t = np.arange(8000) / 8000
+    x = 0.2 * np.sin(2 * np.pi * 120 * t) + 0.2 * np.sin(2 * np.pi * 240 * t) * (1 + np.sin(2 * np.pi * 3 * t)) + 0.1 * np.sin(2 * np.pi * 360 * t)
+    f = audio.pitch_track(x)
+    assert len(f) == (8000 - 480) // 80 + 1 and (f > 0).mean() > 0.95 and abs(f[f > 0] - 120).max() < 4
+    noise = audio.pitch_track(np.random.default_rng(0).normal(0, 0.1, 8000))
+    assert (noise > 0).mean() < 0.3 and not audio.pitch_track(np.zeros(8000)).any() and len(audio.pitch_track(np.ones(100))) == 0
+    half = audio.pitch_track(np.concatenate([tone(180), np.zeros(8000)]))
+    assert (half[:90] > 0).all() and not (half[105:] > 0).any()
+
+
+def test_decibel_cepstra_have_the_usual_defaults():
+    x = tone(440, 1.0, 22050)
+    m = audio.mfcc_db(x)
+    assert m.shape == (20, 1 + 22050 // 512) and audio.mel_power(x).shape[0] == 128
+    # a stationary tone: the orthonormal transform of the decibel spectrum, which can be turned back
+    db = 10 * np.log10(np.maximum(audio.mel_power(x), 1e-10))
+    full = audio.cosines(128, 128)
+    assert np.allclose(full[:20] @ np.maximum(db, db.max() - 80), m)
+    assert audio.mfcc_db(x, 8000, 13, 40, 512, 160, center=False).shape == (13, 1 + (len(x) - 512) // 160)
+
+
+def test_chosen_windows_are_stable_and_bounded():
+    seg = [(0.0, 0.4), (1.0, 9.0), (2.0, 2.6), (3.0, 3.5), (5.0, 5.9), (20.0, 30.0)]
+    w = audio.choose_windows(seg, 8.0, "c1")
+    assert w == audio.choose_windows(seg[::-1], 8.0, "c1") and len(w) == 3 and all(0.5 <= b - a <= 3.0 + 1e-9 and b <= 8.0 for a, b in w)
+    s = audio.window_summary(tone(180, 8.0), w)
+    assert abs(s["f0_median"] - 180) < 3 and s["voiced_ratio"] > 0.9 and len(s) == 6 + 26
+    assert np.isnan(audio.window_summary(tone(180), [])["mfcc_1_mean"])
+
+
+def test_multilabel_split_keeps_every_share(spark):
+    import random
+
+    r = random.Random(3)
+    data = [(f"c{i}", int(r.random() < 0.5), int(r.random() < 0.05), None if r.random() < 0.1 else int(r.random() < 0.2)) for i in range(2000)]
+    d = spark.createDataFrame(data, "id string, a int, b int, c int")
+    got = sampling.multilabel_split(d, ["a", "b", "c"], "id", 0.2)
+    held = got.where("held_out")
+    assert held.count() == 400 and {x.id for x in held.collect()} == {x.id for x in sampling.multilabel_split(d.repartition(5), ["a", "b", "c"], "id", 0.2).where("held_out").collect()}
+    for f in "abc":
+        n, h = got.where(f"{f} = 1").count(), held.where(f"{f} = 1").count()
+        assert abs(h - 0.2 * n) <= 4
+    assert sampling.multilabel_split(d.limit(0), ["a"], "id", 0.2).count() == 0
+
+
+def test_exact_quantiles_of_a_hot_group(spark):
+    d = spark.range(20_000).selectExpr("if(id % 3 = 0, 'hot', concat('g', id % 50)) as g", "cast(pmod(xxhash64(id), 9999) as double) as x")
+    got = {(r.g, r.p): r.quantile for r in stats.exact_quantiles(d, ["g"], "x", [0.1, 0.5]).collect()}
+    pdf = d.toPandas()
+    for g in ("hot", "g1", "g49"):
+        for p in (0.1, 0.5):
+            assert abs(got[(g, p)] - np.quantile(pdf[pdf.g == g].x, p)) < 1e-9

@@ -218,16 +218,57 @@ def test_sinks(spark, rows, tmp_path):
     sinks.write_predictions(d, str(tmp_path / "p"))
 
 
-def test_resume_repeats_nothing(spark, tmp_path):
-    jobs, seen, path = spark.createDataFrame([("a",), ("b",)], "k string"), [], str(tmp_path / "done")
-    assert inc.run_pending(jobs.where("k = 'a'"), None, "k", lambda t: t, path) == 1
+def test_resume_repeats_what_failed_only(spark, rows, tmp_path):
+    jobs, seen, path = spark.createDataFrame([("a",), ("b",), ("c",)], "k string"), [], str(tmp_path / "state")
 
-    def work(t):
-        seen.extend(r.k for r in t.collect())
-        return t
+    def work(fails, lost=()):
+        def run(t):
+            seen.append(sorted(r.k for r in t.collect()))
+            err = F.when(F.col("k").isin(*fails, ""), "broke")
+            return t.where(~F.col("k").isin(*lost, "")).select("k", F.length("k").alias("v"), err.alias("error"))
 
-    assert inc.run_pending(jobs, spark.read.parquet(path), "k", work, path) == 1 and seen == ["b"]
-    assert inc.unresolved_failures(jobs, spark.read.parquet(path).where("k = 'a'"), "k").count() == 1
+        return run
+
+    assert inc.run_pending(jobs, "k", work(["b"], ["c"]), path, "one") == 1
+    assert rows(inc.committed(spark, path)) == [("a", 1)]
+    assert rows(inc.committed(spark, path, "quality")) == [("a", "done", None), ("b", "failed", "broke"), ("c", "failed", "no result")]
+
+    def breaks(t):
+        raise RuntimeError("driver lost")
+
+    with pytest.raises(RuntimeError):
+        inc.run_pending(jobs, "k", breaks, path, "one")
+    assert rows(inc.committed(spark, path)) == [("a", 1)]
+    assert inc.run_pending(jobs, "k", work([]), path, "one") == 2 and seen == [["a", "b", "c"], ["b", "c"]]
+    assert rows(inc.committed(spark, path)) == [("a", 1), ("b", 1), ("c", 1)] and inc.check_cursor(spark, path, "one")["done"] == 2
+    with pytest.raises(ContractError):
+        inc.run_pending(jobs, "k", work([]), path, "another")
+    with pytest.raises(ContractError, match="no job"):
+        inc.run_pending(jobs.where("k = 'a'"), "k", work([]), path, "one")
+    assert inc.unresolved_failures(jobs, inc.committed(spark, path).where("k = 'a'"), "k").count() == 2
+
+
+def test_keys_have_to_be_known_and_single(spark):
+    j = spark.createDataFrame([("a",), ("b",)], "k string")
+    assert inc.pending(j, None, "k").count() == 2 and inc.pending(j, j.limit(1), "k").count() == 1
+    for jobs, done in ((j, j.union(j)), (j, spark.createDataFrame([("x",)], "k string")), (j.union(j), None)):
+        with pytest.raises(ContractError):
+            inc.pending(jobs, done, "k")
+
+
+def test_one_writer_and_gates(spark, tmp_path):
+    path = str(tmp_path / "w")
+    with inc.single_writer(spark, path):
+        with pytest.raises(ContractError, match="another writer"), inc.single_writer(spark, path):
+            pass
+    with inc.single_writer(spark, path):
+        pass
+    with pytest.raises(ContractError):
+        inc.need_gate(spark, path, "bench")
+    with pytest.raises(ContractError, match="too slow"):
+        inc.pass_gate(spark, path, "bench", "too slow")
+    inc.pass_gate(spark, path, "bench", None)
+    inc.need_gate(spark, path, "bench")
 
 
 def test_stream_sink_is_idempotent_and_resumes(spark, rows, tmp_path):
@@ -244,7 +285,10 @@ def test_stream_sink_is_idempotent_and_resumes(spark, rows, tmp_path):
     (src / "2.json").write_text('{"k": "a", "v": 9}\n{"k": "b", "v": 2}\n')
     run()
     run()
-    assert rows(spark.read.parquet(out)) == [("a", 1), ("b", 2)]
+    assert rows(spark.read.parquet(out), "k", "v") == [("a", 1), ("b", 2)]
+    # a batch that is played again changes nothing, and looks only through the buckets of its own keys
+    inc.upsert_batch(out, "k")(spark.createDataFrame([("a", 9), ("b", 2)], "k string, v int"), 1)
+    assert rows(spark.read.parquet(out), "k", "v") == [("a", 1), ("b", 2)]
 
 
 def test_streamed_union_equals_batch(spark, rows, tmp_path):
