@@ -41,6 +41,20 @@ def p1_pieces(spark, sf):
     return splitting.pieces(m, "call_id", F.col("segments"))
 
 
+P1_COUNTS_SQL = (
+    P1_SQL[: P1_SQL.rindex("SELECT DISTINCT b.call_id")].replace(" WHERE model_chunks IS NOT NULL", "")
+    + """, t AS (SELECT call_id, CAST(sum(len + CASE WHEN len > 15000 THEN 1000 * CAST(ceil((len - 15000) / 14000.0) AS BIGINT) ELSE 0 END) AS BIGINT) AS total_ms FROM s GROUP BY call_id)
+SELECT DISTINCT c.call_id AS call_id, c.n AS n_pieces, t.total_ms AS total_ms, true AS within FROM c JOIN t USING (call_id)"""
+)
+
+
+@query("p1_piece_counts", P1_COUNTS_SQL)
+def p1_piece_counts(spark, sf):
+    """What must hold of ``p1_pieces``: as few pieces as can be, nothing lost but what overlaps adds, all within the limit."""
+    g = p1_pieces(spark, sf).groupBy("call_id").agg(F.count(F.lit(1)).alias("n_pieces"), F.sum("length").alias("total_ms"), (F.max("length") <= 15_000).alias("within"))
+    return g.select("call_id", "n_pieces", "total_ms", "within")
+
+
 P2_SQL = r"""
 WITH RECURSIVE c AS (
   SELECT lower(regexp_replace(call_id, '\s+', '', 'g')) AS call_id,

@@ -129,7 +129,7 @@ def assign_splits(state: DataFrame | None, keys_seen: DataFrame | None, edges: D
 
 def _new_wholes(fresh: DataFrame) -> DataFrame:
     """``component, n, stratum, root`` of the components that ``fresh`` (record, root, stratum) makes."""
-    return fresh.groupBy("root").agg(F.min("record").alias("component"), F.count(F.lit(1)).alias("n"), F.mode("stratum", True).alias("stratum")).checkpoint()
+    return fresh.groupBy("root").agg(F.min("record").alias("component"), F.count(F.lit(1)).alias("n"), F.mode("stratum", True).alias("stratum"))
 
 
 def fill_deficits(new: DataFrame, have: DataFrame, shares: dict[str, float], width: int = 1 << 22) -> DataFrame:
