@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def pair_by_key(a: DataFrame, b: DataFrame, key: str, a_value: str, b_value: str) -> DataFrame:
-    """Full outer pairing; of several rows with one key the last value wins."""
+    """Full outer pairing; of several rows with one key the greatest value stands for the key."""
     x = a.groupBy(key).agg(F.max(a_value).alias(a_value))
     y = b.groupBy(key).agg(F.max(b_value).alias(b_value))
     return x.join(y, key, "full")

@@ -9,6 +9,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,15 +96,29 @@ def char_tfidf(df: DataFrame, id: str, text: str, lo: int = 2, hi: int = 5, min_
     term) that at least ``min_df`` documents have. Only texts and sums by term are shuffled; the grams of a document
     are counted in its task, once for the vocabulary and once for the weights. The vocabulary, bounded by its
     parameter, is chosen when this is called and held by the driver and by every worker."""
+    docs, chosen = _chosen(df.where(F.col(text).isNotNull()), df.count(), id, text, lo, hi, min_df, vocabulary)
+    out = T.StructType([docs.schema[id], T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType())])
+    return docs.where(F.col(id).isNotNull()).select(id, "_texts").mapInArrow(_weights(chosen, lo, hi), out)
+
+
+def char_tfidf_vectors(df: DataFrame, id: str, text: str, lo: int = 2, hi: int = 5, min_df: int = 2, vocabulary: int = 150_000) -> DataFrame:
+    """The same as one sparse vector a document, ``id, features``, over the vocabulary in order of the terms. Vectors are
+    made where grams are counted, in Arrow batches; a null text has no entry."""
+    given = df.withColumn(text, F.coalesce(text, F.lit("")))
+    docs, chosen = _chosen(given, df.count(), id, text, lo, hi, min_df, vocabulary)
+    out = T.StructType([docs.schema[id], T.StructField("features", VectorUDT())])
+    return docs.where(F.col(id).isNotNull()).select(id, "_texts").mapInArrow(_sparse(chosen, lo, hi), out)
+
+
+def _chosen(df: DataFrame, n: int, id: str, text: str, lo: int, hi: int, min_df: int, vocabulary: int):
+    """The texts of each document, and the vocabulary with its idf, in order of the terms, as a broadcast."""
     spark = df.sparkSession
-    n = df.count()
     parts = max(3 * spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions())
-    docs = df.where(F.col(text).isNotNull()).select(F.col(id), F.col(text).alias("_t")).repartition(parts, id).groupBy(id).agg(F.collect_list("_t").alias("_texts"))
+    docs = df.select(F.col(id), F.col(text).alias("_t")).repartition(parts, id).groupBy(id).agg(F.collect_list("_t").alias("_texts"))
     sums = docs.select("_texts").mapInArrow(_term_sums(lo, hi), "term string, df bigint, cf bigint")
     terms = sums.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where(F.col("df") >= min_df).orderBy(F.desc("cf"), "term").limit(vocabulary)
-    chosen = spark.sparkContext.broadcast([(r["term"], math.log((1 + n) / (1 + r["df"])) + 1) for r in durable(terms.select("term", "df"), "vocabulary").collect()])
-    out = T.StructType([docs.schema[id], T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType())])
-    return docs.where(F.col(id).isNotNull()).select(id, "_texts").mapInArrow(_weights(chosen, lo, hi), out)
+    rows = sorted((r["term"], r["df"]) for r in durable(terms.select("term", "df"), "vocabulary").collect())
+    return docs, spark.sparkContext.broadcast([(t, math.log((1 + n) / (1 + d)) + 1) for t, d in rows])
 
 
 def _term_sums(lo: int, hi: int, held: int = 400_000):
@@ -160,3 +175,44 @@ def _weights(chosen, lo: int, hi: int, rows: int = 200_000):
                 yield batch()
 
     return run
+
+
+def _sparse(chosen, lo: int, hi: int, rows: int = 200_000):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {t: i for i, (t, _) in enumerate(chosen.value)}
+        idf = np.array([x for _, x in chosen.value])
+        width = max(1, len(idf))
+        for b in batches:
+            first, places, weights, size = 0, [], [], 0
+
+            def batch(end: int) -> pa.RecordBatch:
+                edges = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in places])]).astype(np.int32))
+                n = end - first
+                features = pa.StructArray.from_arrays(
+                    [
+                        pa.array(np.zeros(n, np.int8)),
+                        pa.array(np.full(n, width, np.int32)),
+                        pa.ListArray.from_arrays(edges, pa.array(np.concatenate(places).astype(np.int32))),
+                        pa.ListArray.from_arrays(edges, pa.array(np.concatenate(weights).astype(float))),
+                    ],
+                    ["type", "size", "indices", "values"],
+                )
+                return pa.RecordBatch.from_arrays([b.column(0).slice(first, n), features], [b.schema.names[0], "features"])
+
+            for i, texts in enumerate(b.column(1)):
+                c = _gram_counts(texts.as_py(), lo, hi)
+                p = np.fromiter(map(place.get, c, repeat(-1)), np.int64, len(c))
+                tf = np.fromiter(c.values(), np.int64, len(c))[p >= 0]
+                p = p[p >= 0]
+                order = np.argsort(p)
+                w = (1 + np.log(tf[order])) * idf[p[order]] if len(p) else np.zeros(0)
+                places.append(p[order])
+                weights.append(w / np.sqrt((w * w).sum()) if len(p) else w)
+                size += len(p)
+                if size >= rows:
+                    yield batch(i + 1)
+                    first, places, weights, size = i + 1, [], [], 0
+            if places:
+                yield batch(b.num_rows)
+
+    return run

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,20 +18,9 @@ def training_rows(calls: DataFrame, classes: Sequence[str] = SYMPTOMS) -> DataFr
     return text.multi_hot(t, "symptom", classes, ["stem", "text"])
 
 
-def vectors(rows: DataFrame, id: str, content: str, lo: int = 2, hi: int = 5, min_df: int = 2, vocabulary: int = 150_000) -> DataFrame:
-    """``id`` and its TF-IDF as a sparse vector over the vocabulary, in order of the terms."""
-    w = durable(text.char_tfidf(rows, id, content, lo, hi, min_df, vocabulary), "tfidf")
-    # the vocabulary is bounded by its parameter; places come from a sort, not from one task's window
-    terms = w.select("term").distinct().orderBy("term").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF("term string, place bigint")
-    size = max(1, terms.count())
-    entries = w.join(F.broadcast(terms) if size <= 200_000 else terms, "term").groupBy(id).agg(F.sort_array(F.collect_list(F.struct("place", "weight"))).alias("e"))
-    build = F.udf(lambda e: SparseVector(size, [x["place"] for x in e], [x["weight"] for x in e]), VectorUDT())
-    return rows.select(id).join(entries, id, "left").select(id, build(F.coalesce("e", F.array().cast("array<struct<place:bigint,weight:double>>"))).alias("features"))
-
-
 def tag(rows: DataFrame, id: str, content: str, classes: Sequence[str], train, c: float = 1.0, **tfidf) -> DataFrame:
     """Long rows ``id, label, y, p`` of what is not in ``train`` (a condition on ``rows``)."""
-    v = durable(vectors(rows, id, content, **tfidf).join(rows.withColumn("_t", train), id), "vectors")
+    v = durable(text.char_tfidf_vectors(rows, id, content, **tfidf).join(rows.withColumn("_t", train), id), "vectors")
     out = None
     for label, model in ml.one_vs_rest(v.where("_t"), classes, c).items():
         p = ml.probability(model, v.where("not _t")).select(id, F.lit(label).alias("label"), F.col(label).alias("y"), "p")

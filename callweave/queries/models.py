@@ -45,8 +45,8 @@ def rbf_machine(spark, sf):
 def cross_validation(spark, sf):
     """Out-of-fold predictions of all vectors."""
     v = _vectors(spark, sf)
-    if (empty := _none(spark, v, "vec_id bigint, fold int, y double, p double")) is not None or v.count() < 6:
-        return empty if empty is not None else spark.createDataFrame([], "vec_id bigint, fold int, y double, p double")
+    if (empty := _none(spark, v, "vec_id bigint, fold int, y double, p double")) is not None:
+        return empty
     v = sampling.folds(v.withColumn("stratum", F.col("label").cast("string")), "stratum", "id", 3)
     v = durable(v, "folds")
     oof = ml.cross_validate(v, "fold", "id", lambda t: ml.logistic(t, "y", 0.1), lambda m, t: ml.probability(m, t))

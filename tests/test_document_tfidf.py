@@ -40,3 +40,15 @@ def test_char_tfidf_cuts_the_vocabulary_by_count_then_term(spark):
     want = _brute(docs, len(docs), 2, 4, 2, 100)
     assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-9
     assert text.char_tfidf(df.where("false"), "doc_id", "text").collect() == []
+
+
+def test_vectors_hold_the_same_weights(spark):
+    data = [(1, "가나다 가나라 abc"), (2, "가나다 abcd"), (3, None), (4, ""), (5, "zq")]
+    d = spark.createDataFrame(data, "doc_id bigint, text string")
+    long = text.char_tfidf(d, "doc_id", "text", 2, 3, 2, 50).collect()
+    terms = sorted({r.term for r in long})
+    got = {r.doc_id: r.features for r in text.char_tfidf_vectors(d, "doc_id", "text", 2, 3, 2, 50).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5] and all(v.size == len(terms) for v in got.values())
+    for i, v in got.items():
+        assert {terms[k]: round(float(x), 9) for k, x in zip(v.indices, v.values)} == {r.term: round(r.weight, 9) for r in long if r.doc_id == i}
+    assert text.char_tfidf_vectors(d.limit(0), "doc_id", "text").count() == 0
