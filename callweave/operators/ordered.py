@@ -74,6 +74,23 @@ def running_count(df: DataFrame, entity: list[str], order: str, flag: Column, ou
     return inner.join(base, [KEY, BUCKET]).select(*df.columns, (F.col("_base") + F.col("_in")).alias(out))
 
 
+def run_numbers(df: DataFrame, entity: list[str], order: str, value: str, out: str, width: int = 600_000, tie: list[str] | None = None) -> DataFrame:
+    """``df`` with ``out``: the number, from 1, of the run of equal ``value`` that the row lies in, in order of its entity.
+    Rows are shuffled to their bucket once; what passes from bucket to bucket is one row each."""
+    ordering = [order, *(tie or [])]
+    by = Window.partitionBy(KEY, BUCKET).orderBy(*ordering)
+    upto = by.rowsBetween(Window.unboundedPreceding, 0)
+    opens = F.when(F.col("_i") > 1, ~F.col(value).eqNullSafe(F.col("_was"))).otherwise(F.lit(False)).cast("bigint")
+    inner = keyed(df, entity, order, width).withColumns({"_was": F.lag(value).over(by), "_i": F.row_number().over(by)}).withColumn("_in", F.sum(opens).over(upto))
+    at = F.struct(*ordering)
+    ends = inner.groupBy(KEY, BUCKET).agg(F.max("_in").alias("_n"), F.min_by(value, at).alias("_first"), F.max_by(value, at).alias("_last"))
+    across = Window.partitionBy(KEY).orderBy(BUCKET)
+    ends = ends.withColumns({"_b": F.row_number().over(across), "_p": F.lag("_last").over(across)})
+    ends = ends.withColumn("_opens", F.when(F.col("_b") == 1, True).otherwise(~F.col("_first").eqNullSafe(F.col("_p"))).cast("bigint"))
+    base = ends.withColumn("_t", F.col("_n") + F.col("_opens")).select(KEY, BUCKET, (_sum_before("_t") + F.col("_opens")).alias("_base"))
+    return inner.join(base, [KEY, BUCKET]).select(*df.columns, (F.col("_base") + F.col("_in")).alias(out))
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join in which a null key equals a null key; ``right``'s keys are dropped."""
     right = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in right.columns])

@@ -4,7 +4,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from callweave.operators import intervals as iv
-from callweave.operators.ordered import previous_in_order, running_count, value_ranks
+from callweave.operators.ordered import previous_in_order, run_numbers, running_count, value_ranks
 
 U = "call_id string, startAt bigint, endAt bigint, n int, value string"
 
@@ -83,3 +83,17 @@ def test_ranks_neighbours_and_counts_cross_buckets(spark, rows):
     assert rows(value_ranks(d, ["k"], "v", 10), "value", "n", "before", "through") == [(40, 1, 2, 3), (41, 1, 3, 4), (5, 2, 0, 2), (90, 1, 4, 5)]
     assert rows(previous_in_order(d, ["k"], "v", ["i"], 10, ["i"]), "i", "prev_i") == [(0, None), (1, 0), (2, 1), (3, 2), (4, 3)]
     assert rows(running_count(d, ["k"], "v", d.i % 2 == 0, "c", 10, ["i"]), "i", "c") == [(0, 1), (1, 1), (2, 2), (3, 2), (4, 3)]
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.integers(0, 40), st.sampled_from(["x", "y", None])), min_size=1, max_size=30), st.integers(1, 15))
+def test_run_numbers_property(spark, data, width):
+    d = spark.createDataFrame([(*t, i) for i, t in enumerate(data)], "k string, v bigint, s string, i int")
+    got = {r.i: r.n for r in run_numbers(d, ["k"], "v", "s", "n", width, ["i"]).collect()}
+    want = {}
+    for k in ("a", "b", None):
+        n, last = 0, object()
+        for v, i, s in sorted(((v, i, s) for i, (e, v, s) in enumerate(data) if e == k), key=lambda t: t[:2]):
+            n, last = (n, last) if s == last else (n + 1, s)
+            want[i] = n
+    assert got == want
