@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callweave.operators.intervals import usable
-from callweave.operators.ordered import previous_in_order, running_count
+from callweave.operators.ordered import previous_in_order, run_numbers
 from callweave.session import durable
 
 # fixed values: spellings of the two sides in the speaker column
@@ -200,9 +200,7 @@ def turns(u: DataFrame) -> DataFrame:
     """Every turn with its ordinal, times, number of lines and spoken text. A turn is one row, so one turn has to fit
     into memory; calls need not."""
     ln = clean_lines(u)
-    p = previous_in_order(ln, ["call_id"], "startAt", ["role"], tie=["endAt", "id"])
-    opens = F.col("prev_role").isNull() | (F.col("prev_role") != F.col("role"))
-    numbered = running_count(p, ["call_id"], "startAt", opens, "turn_no", tie=["endAt", "id"])
+    numbered = run_numbers(ln, ["call_id"], "startAt", "role", "turn_no", tie=["endAt", "id"])
     line = F.struct("startAt", "endAt", "id", "spoken")
     return numbered.groupBy("call_id", "turn_no", "role").agg(
         F.min_by("id", F.struct("startAt", "endAt", "id")).alias("first_id"),
