@@ -170,14 +170,17 @@ def pitch_track(x, rate: int = 8000, low: float = 50, high: float = 800, hop_ms:
     # the cheapest path; costs are those of frames of 10 ms
     scale = 10 / hop_ms
     back = np.zeros((n, k + 1), dtype=int)
-    total = score[0]
+    total, cols = score[0], np.arange(k + 1)
     logs = np.log2(np.where(freq > 0, freq, 1))
-    for i in range(1, n):
-        was, now = freq[i - 1] > 0, freq[i] > 0
-        cost = np.where(was[:, None] & now[None, :], jump * np.abs(logs[i - 1][:, None] - logs[i][None, :]), np.where(was[:, None] != now[None, :], change, 0.0)) * scale
-        reach = total[:, None] - cost
-        back[i] = reach.argmax(axis=0)
-        total = reach.max(axis=0) + score[i]
+    for start in range(1, n, 4096):  # costs of many frames at once
+        end = min(n, start + 4096)
+        was, now = freq[start - 1 : end - 1, :, None] > 0, freq[start:end, None, :] > 0
+        far = jump * np.abs(logs[start - 1 : end - 1, :, None] - logs[start:end, None, :])
+        cost = np.where(was & now, far, np.where(was != now, change, 0.0)) * scale
+        for i in range(start, end):
+            reach = total[:, None] - cost[i - start]
+            back[i] = reach.argmax(axis=0)
+            total = reach[back[i], cols] + score[i]
     path = np.zeros(n, dtype=int)
     path[-1] = total.argmax()
     for i in range(n - 1, 0, -1):
