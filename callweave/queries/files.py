@@ -344,3 +344,29 @@ def sample_of_files(spark, sf):
     """Items in a salted order, as a bounded sample of files takes them."""
     e = table(spark, sf, "eval_items").select(F.col("item_id").cast("string").alias("k"))
     return sampling.salted_positions(e, "k", "files").select(F.col("k").cast("bigint").alias("item_id"), "position")
+
+
+@query("writers_and_gates", "SELECT true AS second_writer_refused, true AS freed, true AS closed_at_first, true AS kept_closed, true AS opened, count(*) AS n FROM benchmark_calls WHERE model_chunks IS NULL OR model_chunks >= 0")
+def writers_and_gates(spark, sf):
+    """One writer at a time; a stage that waits for the one before it, which passes once its checks hold."""
+    path, b = shared_path(spark, "state"), table(spark, sf, "benchmark_calls")
+
+    def refused(act) -> bool:
+        try:
+            act()
+            return False
+        except checks.ContractError:
+            return True
+
+    def write():
+        with incremental.single_writer(spark, path):
+            pass
+
+    with incremental.single_writer(spark, path):
+        second = refused(write)
+    bad = b.where("model_chunks < 0").count()
+    closed = refused(lambda: incremental.need_gate(spark, path, "counted"))
+    kept = refused(lambda: incremental.pass_gate(spark, path, "counted", "a check fails")) and refused(lambda: incremental.need_gate(spark, path, "counted"))
+    incremental.pass_gate(spark, path, "counted", f"{bad} negative counts" if bad else None)
+    opened = not refused(lambda: incremental.need_gate(spark, path, "counted"))
+    return spark.createDataFrame([(second, not refused(write), closed, kept, opened, b.count() - bad)], "second_writer_refused boolean, freed boolean, closed_at_first boolean, kept_closed boolean, opened boolean, n bigint")

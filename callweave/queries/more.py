@@ -9,6 +9,7 @@ from callweave.operators import checks, pairing, signals, stats, text
 from callweave.queries.pairing import ONE_LABEL, _labels
 from callweave.queries.intervals import SIDE_SQL, side
 from callweave.queries.registry import query, table
+from callweave.queries.texts import SCHEMA_SQL
 
 
 @query(
@@ -111,7 +112,15 @@ def resampled_vectors(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.posexplode(udfs.resampled("embedding")).alias("pos", "value"))
 
 
-@query("label_paths")
+_FIELDS = {**dict.fromkeys(("call_id", "_id", "recordId", "audioPath", "mediaType", "gender", "address", "disasterLarge", "disasterMedium", "urgencyLevel", "sentiment", "triage"), "string"), "status": "integer", "startAt": "integer", "endAt": "number"}
+_WALKED = " UNION ALL ".join(
+    [f"SELECT '{f}' AS path, '{t}' AS type, CAST({f} AS VARCHAR) AS value FROM call_labels WHERE {f} IS NOT NULL" for f, t in _FIELDS.items()]
+    + ["SELECT '$', 'object', NULL FROM call_labels", "SELECT 'symptom', 'array', NULL FROM call_labels WHERE symptom IS NOT NULL"]
+    + ["SELECT 'symptom[]', CASE WHEN s IS NULL THEN 'null' ELSE 'string' END, s FROM (SELECT unnest(symptom) AS s FROM call_labels)"]
+)
+
+
+@query("label_paths", f"WITH walked AS ({_WALKED})" + SCHEMA_SQL)
 def label_paths(spark, sf):
     """The schema that label rows show when walked as JSON documents: paths, types, examples."""
     lab = table(spark, sf, "call_labels")

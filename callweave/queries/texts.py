@@ -298,7 +298,20 @@ def sum_and_union(spark, sf):
     return total.join(interval_union(spark, sf).select("call_id", "union_ms"), "call_id")
 
 
-@query("json_walk")
+# of rows (path, type, value): how often each path occurs, its types, five least values, how many there are
+SCHEMA_SQL = """, t AS (SELECT path, sum(n) AS n, string_agg(type || ':' || n, ',' ORDER BY type || ':' || n) AS types FROM (SELECT path, type, count(*) AS n FROM walked GROUP BY 1, 2) GROUP BY path),
+v AS (SELECT DISTINCT path, value FROM walked WHERE value IS NOT NULL),
+x AS (SELECT path, string_agg(value, '|' ORDER BY value) AS examples FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY value) AS r FROM v) WHERE r <= 5 GROUP BY path),
+d AS (SELECT path, count(*) AS n_distinct FROM v GROUP BY path)
+SELECT path, CAST(n AS BIGINT) AS n, types, examples, n_distinct, n_distinct <= 30 AS listed FROM t LEFT JOIN x USING (path) LEFT JOIN d USING (path)"""
+
+
+@query(
+    "json_walk",
+    """WITH k AS (SELECT unnest(json_keys(props)) AS path, props FROM events),
+walked AS (SELECT path, CASE json_type(props, '$.' || path) WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'number' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' ELSE 'null' END AS type, json_extract_string(props, '$.' || path) AS value FROM k)"""
+    + SCHEMA_SQL,
+)
 def json_walk(spark, sf):
     """How often each path of the events' JSON occurs, with its types and least examples."""
     from callweave.operators import stats
