@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 import re
 import struct
 from collections.abc import Iterator
@@ -19,6 +20,11 @@ from pyspark.sql import types as T
 from callweave.functions.scalar import file_name, file_stem, nfc
 
 
+# names, of files and of folders on the way to them, that a scan passes over
+HIDDEN = r"(?s)(^|/)(\.|_[^/=]*\z|[^/]*\._COPYING_\z|(?!_metadata|_common_metadata)(_[^/=]*/|[^/]*\._COPYING_/))"
+READ_BYTES = 4 << 20
+
+
 def listing(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """``path, size`` of all files below a folder; only metadata is read. A missing folder gives no row."""
     jvm = spark.sparkContext._jvm
@@ -30,8 +36,8 @@ def listing(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
 
 def listing_all(spark: SparkSession, root: str) -> DataFrame:
     """``path, size`` of all files below a folder, also those that a scan never shows because their names begin with a
-    dot or an underscore. Where Arrow can open the file system, tasks list the folders below the root, each its own;
-    elsewhere the JVM lists metadata as it does to plan a scan, and hands it over in one piece."""
+    dot or an underscore. Where Arrow can open the file system, one task lists the root, and a bounded number of tasks
+    share the folders in it; elsewhere the JVM lists metadata as it does to plan a scan, and hands it over in one piece."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -41,28 +47,81 @@ def listing_all(spark: SparkSession, root: str) -> DataFrame:
         text = jvm.org.apache.spark.deploy.SparkHadoopUtil.get().listLeafStatuses(fs, path).mkString("\n")
         found = [(m[1], int(m[2])) for m in re.finditer(r"path=(.*?); isDirectory=false; length=(\d+)", text)]
         return spark.createDataFrame(found, "path string, size bigint")
-    top = [(s.getPath().toString(), s.isDirectory(), s.getLen()) for s in fs.listStatus(path)]
 
-    def below(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for p in b["path"]:
-                store, name = _located(p)
-                prefix = p[: len(p) - len(name)] if p.endswith(name) else ""
-                found = [(prefix + i.path, i.size) for i in store.get_file_info(pafs.FileSelector(name, recursive=True)) if i.type == pafs.FileType.File]
-                if found:
-                    yield pd.DataFrame(found, columns=["path", "size"])
+                yield from _frames(iter(_entries(p, False)), ["path", "size", "folder"])
+
+    def below(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def found():
+            for b in batches:
+                for p, n, folder in zip(b["path"], b["size"], b["folder"]):
+                    yield from [(q, m) for q, m, deeper in _entries(p, True) if not deeper] if folder else [(p, n)]
+
+        yield from _frames(found(), ["path", "size"])
+
+    first = spark.createDataFrame([(fs.makeQualified(path).toString(),)], "path string")
+    return first.mapInPandas(top, "path string, size bigint, folder boolean").repartition(_tasks(spark)).mapInPandas(below, "path string, size bigint")
+
+
+def _tasks(spark: SparkSession) -> int:
+    """For work on files, of which nobody knows how many there are."""
+    return max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    here = spark.createDataFrame([(p, n) for p, d, n in top if not d], "path string, size bigint")
-    deep = [(p,) for p, d, _ in top if d]
-    if not deep:
-        return here
-    return here.unionByName(spark.createDataFrame(deep, "path string").repartition(len(deep)).mapInPandas(below, "path string, size bigint"))
+
+def _entries(root: str, recursive: bool) -> list[tuple[str, int, bool]]:
+    """Path, size, whether it is a folder, of what a folder holds; a file stands for itself."""
+    store, name = _located(root)
+    prefix = root[: len(root) - len(name)] if root.endswith(name) else ""
+    kinds = (pafs.FileType.File, pafs.FileType.Directory)
+    here = store.get_file_info(name)
+    found = [here] if here.type == pafs.FileType.File else store.get_file_info(pafs.FileSelector(name, recursive=recursive))
+    return [(prefix + i.path, i.size or 0, i.type == pafs.FileType.Directory) for i in found if i.type in kinds]
+
+
+def _frames(rows: Iterator[tuple], columns: list[str], most: int = 10_000) -> Iterator[pd.DataFrame]:
+    """Rows of many folders in few frames."""
+    while part := list(itertools.islice(rows, most)):
+        yield pd.DataFrame(part, columns=columns)
 
 
 def _binary(spark: SparkSession, root: str, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
 
 
+def contents(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """``path, content`` of the files below a folder that a scan shows, and of those without any byte, which it passes
+    over. A scan of small files lists every folder for the driver and makes a task of every few files; so where Arrow can
+    open the file system, a bounded number of tasks list them and read them, a few MB at a time."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    wanted = file_name(F.col("path")).rlike(f"(?s)^(?:{jvm.org.apache.hadoop.fs.GlobPattern(glob).compiled().pattern()})\\z")
+    empty = (F.col("size") == 0) & ~side_car(F.col("path"))
+    if not (opens_directly(root) and fs.exists(path) and fs.getFileStatus(path).isDirectory()):
+        none = listing_all(spark, root).where(wanted & empty)
+        return _binary(spark, root, glob).select("path", "content").unionByName(none.select("path", F.lit(b"").alias("content")))
+    inside = F.col("path").substr(len(fs.makeQualified(path).toString().rstrip("/")) + 2, 1 << 30)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths, held, n = [], [], 0
+        for b in batches:
+            for p in b.column("path").to_pylist():
+                with open_file(p) as f:
+                    held.append(f.read())
+                paths.append(p)
+                n += len(held[-1])
+                if n >= READ_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(held, pa.binary())], ["path", "content"])
+                    paths, held, n = [], [], 0
+        if paths:
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(held, pa.binary())], ["path", "content"])
+
+    found = listing_all(spark, root).where(wanted & (~inside.rlike(HIDDEN) | empty)).select("path")
+    return found.repartition(_tasks(spark), "path").mapInArrow(read, "path string, content binary")
+
+
 def side_car(path: Column) -> Column:
     """Files that archives and file managers leave beside the real ones."""
     return file_name(path).startswith("._") | path.contains("/__MACOSX/")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import fnmatch
 import io
 import json
 import tarfile
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 
 from callweave.functions.scalar import file_name
 from callweave.operators.checks import enforce
-from callweave.sources.files import listing_all, real_files
+from callweave.sources.files import contents
 
 UTTERANCES = "array<struct<id:string,startAt:bigint,endAt:bigint,text:string,speaker:int>>"
 LABEL = f"_id string, recordId string, audioPath string, mediaType string, gender string, address string, disasterLarge string, disasterMedium string, urgencyLevel string, sentiment string, triage string, status int, startAt bigint, endAt double, symptom array<string>, utterances {UTTERANCES}"
@@ -24,7 +23,7 @@ LABEL = f"_id string, recordId string, audioPath string, mediaType string, gende
 def label_documents(spark: SparkSession, root: str, glob: str = "*.json") -> DataFrame:
     """``path, sha256, doc, error``: every JSON file parsed against the label schema. What can't be decoded or parsed,
     or has no list of utterances, keeps its row with an error and a null document."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    raw = contents(spark, root, glob)
     # bytes that are no UTF-8 turn into replacement characters, which a re-encoding would reveal
     text = F.regexp_replace(F.decode(F.try_validate_utf8(F.col("content").cast("string")).cast("binary"), "UTF-8"), "^﻿", "")
     doc = F.from_json(F.col("text"), LABEL + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
@@ -35,10 +34,7 @@ def label_documents(spark: SparkSession, root: str, glob: str = "*.json") -> Dat
         .when(F.col("doc.utterances").isNull(), "no_utterances")
     )
     out = parsed.withColumn("error", error)
-    out = out.select("path", "sha256", F.when(F.col("error").isNull(), F.col("doc").dropFields("_corrupt")).alias("doc"), "error")
-    # a scan passes over files without any byte
-    empty = real_files(listing_all(spark, root)).where((F.col("size") == 0) & file_name(F.col("path")).rlike(fnmatch.translate(glob)))
-    return out.unionByName(empty.select("path", F.sha2(F.lit(b""), 256).alias("sha256"), F.lit(None).cast(out.schema["doc"].dataType).alias("doc"), F.lit("json").alias("error")))
+    return out.select("path", "sha256", F.when(F.col("error").isNull(), F.col("doc").dropFields("_corrupt")).alias("doc"), "error")
 
 
 def readable(labels: DataFrame) -> DataFrame:

@@ -149,6 +149,29 @@ def test_label_documents_and_manifests(spark, rows, corpus):
     assert mf.gender_candidates(mf.label_table(good).withColumn("gender", F.lit("x"))).where("reason = 'no_gender'").count() == 5
 
 
+def test_a_folder_a_file_makes_no_task_a_file(spark, tmp_path):
+    for i in range(60):
+        (tmp_path / f"{i}").mkdir()
+        (tmp_path / f"{i}/{i}.json").write_bytes(b"" if i % 20 == 0 else json.dumps(label(TIMES)).encode())
+    lab, most = readers.label_documents(spark, str(tmp_path)), 3 * spark.sparkContext.defaultParallelism
+    assert files.listing_all(spark, str(tmp_path)).rdd.getNumPartitions() <= most and lab.rdd.getNumPartitions() <= most
+    assert {r.path.rsplit("/", 1)[-1]: r.error for r in lab.collect()} == {f"{i}.json": "json" if i % 20 == 0 else None for i in range(60)}
+
+
+@pytest.mark.parametrize("glob", ["*.json", "*", "{a,z}.json", "[!a]*.json", "?.json"])
+def test_contents_are_those_of_a_scan_and_empty_files(spark, rows, tmp_path, monkeypatch, glob):
+    names = ["a.json", "b c%20.json", "_x.json", ".h.json", "_k=1.json", "_metadata.json", "q.json._COPYING_", "e.json", "._e.json", "d/a.json", "d/e/f/z.json", "_d/a.json", "_d=1/a.json", ".d/a.json", "x._COPYING_/a.json", "_metadata/z.json", "__MACOSX/e.json", "__MACOSX/z.json", "가/나.json", "d/n.txt"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_bytes(b"" if n.endswith("e.json") else n.encode())
+    monkeypatch.setattr(files, "READ_BYTES", 20)
+    got = rows(files.contents(spark, str(tmp_path), glob))
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(str(tmp_path)).select("path", "content")
+    assert [r for r in got if r[1]] == rows(scan) and [r[0].rsplit("/", 1)[-1] for r in got if not r[1]] == (["e.json"] if glob != "{a,z}.json" else [])
+    monkeypatch.setattr(files, "opens_directly", lambda root: False)
+    assert rows(files.contents(spark, str(tmp_path), glob)) == got and rows(files.contents(spark, str(tmp_path / "a.json"))) == [(f"file:{tmp_path}/a.json", b"a.json")]
+
+
 def test_bytes_that_are_no_text(spark, tmp_path):
     (tmp_path / "a.json").write_bytes(b'{"utterances": [], "gender": "\xff\xfe"}')
     (tmp_path / "b.json").write_bytes(b"")
