@@ -172,6 +172,16 @@ def test_contents_are_those_of_a_scan_and_empty_files(spark, rows, tmp_path, mon
     assert rows(files.contents(spark, str(tmp_path), glob)) == got and rows(files.contents(spark, str(tmp_path / "a.json"))) == [(f"file:{tmp_path}/a.json", b"a.json")]
 
 
+def test_a_filter_on_the_error_parses_a_document_once(spark, tmp_path):
+    odd = {"good": '{"utterances": []}', "null": "null", "list": "[]", "type": '{"utterances": [{"startAt": "x"}]}', "none": '{"utterances": null}', "bare": "{}", "blank": " "}
+    for n, c in odd.items():
+        (tmp_path / f"{n}.json").write_text(c)
+    i = readers.label_issues(readers.label_documents(spark, str(tmp_path)))
+    filters = [x for x in i._jdf.queryExecution().executedPlan().toString().split("\n") if "Filter" in x]
+    assert filters and max(x.count("from_json(") for x in filters) <= 1
+    assert {r.file_ref.rsplit("/", 1)[-1]: r.issue for r in i.collect()} == {f"{n}.json": "json_no_utterances" if n in ("none", "bare") else "json_json" for n in odd if n != "good"}
+
+
 def test_bytes_that_are_no_text(spark, tmp_path):
     (tmp_path / "a.json").write_bytes(b'{"utterances": [], "gender": "\xff\xfe"}')
     (tmp_path / "b.json").write_bytes(b"")
