@@ -20,14 +20,14 @@ _UTT = "(SELECT call_id, count(*) AS n, min(startAt) AS first FROM (SELECT DISTI
 
 
 def _label_files(spark, sf):
-    """Every call's label document with its usable utterances as a JSON file of its own; a call without any has no list,
-    and where the address is not in the region the file breaks off."""
-    u = table(spark, sf, "utterances").where(intervals.usable()).groupBy("id").agg(F.min_by(F.struct("call_id", "startAt", "endAt", "text"), F.struct("loaded_at", "call_id", "startAt")).alias("r")).select("id", "r.*")
+    """Every call's label document with its usable utterances as a JSON file of its own, in one of 256 folders; a call
+    without any has no list, and where the address is not in the region the file breaks off."""
+    u = table(spark, sf, "utterances").where(intervals.usable()).groupBy("id").agg(F.min(F.struct("loaded_at", "call_id", "startAt", "endAt", "text")).alias("r")).select("id", "r.*").drop("loaded_at")
     u = u.groupBy("call_id").agg(F.array_sort(F.collect_list(F.struct("startAt", "endAt", "id", "text"))).alias("utterances"))
     lab = _labels(spark, sf)
     doc = F.to_json(F.struct(*[F.col(c) for c in lab.columns if c != "call_id"], "utterances"))
     root = shared_path(spark, "labels")
-    files.write_files(lab.join(u, "call_id", "left").select(F.concat("call_id", F.lit("/"), "call_id", F.lit(".json")).alias("n"), F.when(~F.coalesce(F.col("address").contains("서울"), F.lit(False)), F.substring(doc, 1, 20)).otherwise(doc).alias("d")), root, "n", "d")
+    files.write_files(lab.join(u, "call_id", "left").select(F.concat(F.substring(F.md5(F.col("call_id")), 1, 2), F.lit("/"), "call_id", F.lit(".json")).alias("n"), F.when(~F.coalesce(F.col("address").contains("서울"), F.lit(False)), F.substring(doc, 1, 20)).otherwise(doc).alias("d")), root, "n", "d")
     return root
 
 

@@ -172,6 +172,13 @@ def test_contents_are_those_of_a_scan_and_empty_files(spark, rows, tmp_path, mon
     assert rows(files.contents(spark, str(tmp_path), glob)) == got and rows(files.contents(spark, str(tmp_path / "a.json"))) == [(f"file:{tmp_path}/a.json", b"a.json")]
 
 
+def test_label_files_share_folders(spark):
+    from callweave.queries.files import _label_files
+
+    names = [r.path.rsplit("/", 2)[1:] for r in files.listing_all(spark, _label_files(spark, "/root/testdata/sf0.01")).collect()]
+    assert len({n for _, n in names}) == len(names) == 297 and len({d for d, _ in names}) <= 256
+
+
 def test_a_filter_on_the_error_parses_a_document_once(spark, tmp_path):
     odd = {"good": '{"utterances": []}', "null": "null", "list": "[]", "type": '{"utterances": [{"startAt": "x"}]}', "none": '{"utterances": null}', "bare": "{}", "blank": " "}
     for n, c in odd.items():
